@@ -2,9 +2,44 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from talkgrain.operators import deliveries
+from talkgrain.session import read_table, shared_dir
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Enter a query by its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_WINNERS = """
+k AS (SELECT row_id, post_time, try_cast(nullif(regexp_extract(url, '(?i)/c/([0-9]+)/([0-9]+)', 1), '') AS BIGINT) AS share,
+             try_cast(nullif(regexp_extract(url, '(?i)/c/([0-9]+)/([0-9]+)', 2), '') AS BIGINT) AS msg FROM messages),
+r AS (SELECT *, row_number() OVER (PARTITION BY share, msg, CASE WHEN share IS NULL THEN row_id END
+                                   ORDER BY post_time DESC NULLS LAST, row_id) AS rn FROM k)"""
+
+
+@query(f"WITH {_WINNERS} SELECT row_id FROM r WHERE rn > 1")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deliveries.dropped(read_table(spark, sf_dir, "messages"), f"{shared_dir(spark)}/deliveries-{uuid.uuid4().hex}")
+
+
+@query(f"WITH {_WINNERS} SELECT share, msg, row_id, post_time FROM r WHERE rn = 1")
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = deliveries.kept(read_table(spark, sf_dir, "messages"), f"{shared_dir(spark)}/deliveries-{uuid.uuid4().hex}")
+    return rows.select("share", "msg", "row_id", "post_time")
