@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgrain.llm import near_duplicates
+from talkgrain.llm import lookalikes, near_duplicates, top_groups
 from talkgrain.session import read_table
 
 
@@ -19,9 +19,25 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(near_duplicates.link(read_table(spark, sf_dir, "messages"), "row_id", "content"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.found(read_table(spark, sf_dir, "messages"), "row_id", ["content", "sender"])
+
+
+def p5_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both fields of every message in their consistent form, with the kinds of difference they had."""
+    return lookalikes.normalize(read_table(spark, sf_dir, "messages"), "row_id", ["content", "sender"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_groups.newest_messages(read_table(spark, sf_dir, "messages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p5_found": p5_found,
+    "p5_normalized": p5_normalized,
+    "p6_found": p6_found,
 }
 
 #: Units of lower-cased content: CJK characters alone, other runs of letters and digits whole.
@@ -39,6 +55,23 @@ o AS (SELECT x.row_id AS a, y.row_id AS b, count(*) AS o FROM t x JOIN t y ON x.
 p AS (SELECT a, b, x.k AS ka, y.k AS kb FROM o JOIN n x ON x.row_id = a JOIN n y ON y.row_id = b WHERE o >= {share} * (x.n + y.n - o) - 1e-9)"""
 
 
+def _differs(field: str) -> str:
+    """Rows whose field has a kind of difference, told by the character classes alone."""
+    seen = f"regexp_replace(s, '[{lookalikes.INVISIBLE}]', '', 'g')"
+    mixed = r"(\p{Latin}[\p{N}\p{M}]*[\p{Greek}\p{Cyrillic}])|(\p{Greek}[\p{N}\p{M}]*[\p{Latin}\p{Cyrillic}])|(\p{Cyrillic}[\p{N}\p{M}]*[\p{Latin}\p{Greek}])"
+    emoji = r"[\x{1F000}-\x{1FAFF}\x{2190}-\x{21FF}\x{2300}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}]"
+    joined = f"regexp_replace(s, '({emoji})\\x{{200D}}({emoji})', '\\1\\2', 'g')"
+    return rf"""SELECT row_id, '{field}' AS field FROM (SELECT row_id, {field} AS s FROM messages)
+WHERE regexp_matches(s, '[\x{{FF10}}-\x{{FF19}}\x{{FF21}}-\x{{FF3A}}\x{{FF41}}-\x{{FF5A}}]') OR regexp_matches({seen}, '\p{{L}}\p{{M}}')
+   OR regexp_matches({joined}, '[{lookalikes.INVISIBLE}]') OR regexp_matches(s, '[\t\n\r\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]')
+   OR regexp_matches(s, '[{"".join(lookalikes.several())}]') OR regexp_matches(nfc_normalize({seen}), '{mixed}')"""
+
+
 ORACLES: dict[str, str] = {
+    "p5_found": _differs("content") + " UNION ALL " + _differs("sender"),
+    "p6_found": r"""
+WITH m AS (SELECT try_cast(regexp_extract(url, '(?i)/c/([0-9]+)/([0-9]+)', 1) AS BIGINT) AS chat_id,
+                  try_cast(regexp_extract(url, '(?i)/c/([0-9]+)/([0-9]+)', 2) AS BIGINT) AS msg_id, max(post_time) AS t FROM messages GROUP BY 1, 2)
+SELECT chat_id, msg_id FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY t DESC, msg_id) AS rn FROM m WHERE t IS NOT NULL) WHERE rn <= 5""",
     "p1_found": f"WITH {_similar(3, 50, 0.7)} SELECT a AS row_a, b AS row_b FROM p WHERE ka <> kb",
 }
