@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from talkgrain.llm import lookalikes, near_duplicates, top_groups
+from talkgrain.llm import languages, lookalikes, near_duplicates, top_groups
 from talkgrain.session import read_table
 
 
@@ -19,6 +20,17 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(near_duplicates.link(read_table(spark, sf_dir, "messages"), "row_id", "content"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.found(read_table(spark, sf_dir, "messages"))
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every message and of each stretch of it."""
+    rows = languages.message_languages(read_table(spark, sf_dir, "messages"))
+    return rows.select("row_id", "label", "lang", "confidence", F.posexplode_outer("segments").alias("place", "segment")).select(
+        "row_id", "label", "lang", "confidence", "place", F.col("segment.lang").alias("segment_lang"), F.col("segment.confidence").alias("segment_confidence"), F.col("segment.text").alias("segment_text"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.found(read_table(spark, sf_dir, "messages"), "row_id", ["content", "sender"])
 
@@ -35,6 +47,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p4_found": p4_found,
+    "p4_segments": p4_segments,
     "p5_found": p5_found,
     "p5_normalized": p5_normalized,
     "p6_found": p6_found,
