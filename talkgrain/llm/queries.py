@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgrain.llm import languages, lookalikes, near_duplicates, top_groups
+from talkgrain.llm import languages, leaks, lookalikes, near_duplicates, top_groups
 from talkgrain.session import read_table
 
 
@@ -44,6 +44,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_groups.newest_messages(read_table(spark, sf_dir, "messages"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.found(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p7_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every verified region, also those with edits."""
+    return leaks.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
@@ -52,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_normalized": p5_normalized,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_regions": p7_regions,
 }
 
 #: Units of lower-cased content: CJK characters alone, other runs of letters and digits whole.
@@ -87,5 +98,10 @@ ORACLES: dict[str, str] = {
 WITH m AS (SELECT try_cast(regexp_extract(url, '(?i)/c/([0-9]+)/([0-9]+)', 1) AS BIGINT) AS chat_id,
                   try_cast(regexp_extract(url, '(?i)/c/([0-9]+)/([0-9]+)', 2) AS BIGINT) AS msg_id, max(post_time) AS t FROM messages GROUP BY 1, 2)
 SELECT chat_id, msg_id FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY t DESC, msg_id) AS rn FROM m WHERE t IS NOT NULL) WHERE rn <= 5""",
+    "p7_found": rf"""
+WITH s AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM eval_items),
+u AS (SELECT kind, id, regexp_extract_all(regexp_replace(lower(text), '([\x{{4e00}}-\x{{9fff}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+') AS us FROM s WHERE text IS NOT NULL),
+t AS (SELECT DISTINCT kind, id, array_to_string(us[i:i + 11], ' ') AS run FROM (SELECT kind, id, us, unnest(range(1, len(us) - 10)) AS i FROM u WHERE len(us) >= 12))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM t d JOIN t i ON d.run = i.run AND d.kind = 'd' AND i.kind = 'i'""",
     "p1_found": f"WITH {_similar(3, 50, 0.7)} SELECT a AS row_a, b AS row_b FROM p WHERE ka <> kb",
 }
