@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgrain.llm import languages, leaks, lookalikes, near_duplicates, top_groups
+from talkgrain.llm import languages, leaks, lookalikes, near_duplicates, personal, top_groups
 from talkgrain.session import read_table
 
 
@@ -20,6 +20,15 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(near_duplicates.link(read_table(spark, sf_dir, "messages"), "row_id", "content"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found(read_table(spark, sf_dir, "messages"))
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content and sender of every message with typed placeholders, and the spans they replace."""
+    return personal.masked_messages(read_table(spark, sf_dir, "messages"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.found(read_table(spark, sf_dir, "messages"))
 
@@ -56,6 +65,8 @@ def p7_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p3_found": p3_found,
+    "p3_masked": p3_masked,
     "p4_found": p4_found,
     "p4_segments": p4_segments,
     "p5_found": p5_found,
