@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgrain.llm import languages, leaks, lookalikes, near_duplicates, personal, top_groups
+from talkgrain.llm import languages, leaks, lookalikes, near_duplicates, personal, subjects, top_groups
 from talkgrain.session import read_table
 
 
@@ -62,6 +62,14 @@ def p7_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.found(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "subject_labels"))
+
+
+def p9_make_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.make_up(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "subject_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_regions": p7_regions,
+    "p9_found": p9_found,
+    "p9_make_up": p9_make_up,
 }
 
 #: Units of lower-cased content: CJK characters alone, other runs of letters and digits whole.

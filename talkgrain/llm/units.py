@@ -56,9 +56,15 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unit_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all units of all texts in order, and the number of each text before them (end appended)."""
+    """Hashes of all units of all texts in order, and the number of each text's first among them (end appended)."""
+    return unit_table(texts)[:2]
+
+
+def unit_table(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """unit_hashes, and of each unit whether it is a CJK character and whether it holds a digit."""
+    none = np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64), np.empty(0, bool), np.empty(0, bool)
     if not texts:
-        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+        return none
     chars, at = code_points(texts)
     kind = _kinds()[chars]
     begins = kind == 2
@@ -67,14 +73,15 @@ def unit_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     begins[1:] |= word[1:] & ~word[:-1]
     start = np.flatnonzero(begins)
     if not len(start):
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return none
     inside = np.flatnonzero(kind)
     which = np.cumsum(begins)[inside] - 1
     place = inside - start[which]
     values = (chars[inside].astype(np.uint64) + np.uint64(1)) * _powers(1 << int(place.max() + 1).bit_length())[place]
     first = np.searchsorted(inside, start)
     hashes = mix(np.add.reduceat(values, first))
-    return hashes, np.searchsorted(start, at)
+    numeric = np.maximum.reduceat((chars[inside] >= 48) & (chars[inside] <= 57), first)
+    return hashes, np.searchsorted(start, at), kind[start] == 2, numeric
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
