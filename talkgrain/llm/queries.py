@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgrain.llm import languages, leaks, lookalikes, near_duplicates, personal, subjects, top_groups
-from talkgrain.session import read_table
+from talkgrain.llm import languages, leaks, lookalikes, mixing, near_duplicates, personal, subjects, top_groups
+from talkgrain.session import durable, read_table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,14 @@ def p7_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(durable(p8_mixture(spark, sf_dir), "mixture"), read_table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.found(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "subject_labels"))
 
@@ -82,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_regions": p7_regions,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_make_up": p9_make_up,
 }
