@@ -13,12 +13,12 @@ subject that at least `share` of its sentences take, so that several are kept; s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,16 +48,23 @@ class Params:
     cells: int = 1 << 22
 
 
-_BREAK = regex.compile(r"(?<=[.!?…](?<!\b\p{Lu}\.))[\"”»')\]]*\s+|(?<=[。！？])|\s/\s|\n|\s[—–|•]\s")
-_HEAD = regex.compile(r"^\s*(?:[-*•]\s+|\d+[.)]\s+|\[\d\d?:\d\d\]\s*(?:[^:\n]{1,40}:)?)\s*")
+_BREAK = re.compile(r"""(?<!\b[A-ZÀ-ÞА-ЯЁ])[.!?…]+["”»')\]]*\s+|[。！？]+|\s[/—–|•]\s|\n""")
+_HEAD = re.compile(r"\s*(?:[-*•]\s+|\d+[.)]\s+|\[\d\d?:\d\d\]\s*(?:[^:\n]{1,40}:)?)\s*")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def sentences(text: str | None) -> list[str]:
     """Sentences of a text, without list marks and speakers; pieces without letters don't count."""
     if not text:
         return []
-    out = (_HEAD.sub("", line) for line in _BREAK.split(text) if line)
-    return [s for s in out if any(c.isalpha() for c in s)]
+    out = []
+    for line in _BREAK.split(text):
+        head = _HEAD.match(line)
+        if head:
+            line = line[head.end() :]
+        if _LETTER.search(line):
+            out.append(line)
+    return out
 
 
 def sentence_terms(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
