@@ -6,8 +6,13 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from talkgrain.operators import deliveries
+from talkgrain.functions import ids, text
+from talkgrain.functions.analyze import Profile
+from talkgrain.operators import changes, deliveries
+from talkgrain.operators import chats as chat_list
+from talkgrain.operators import search as searching
 from talkgrain.session import read_table, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +48,296 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = deliveries.kept(read_table(spark, sf_dir, "messages"), f"{shared_dir(spark)}/deliveries-{uuid.uuid4().hex}")
     return rows.select("share", "msg", "row_id", "post_time")
+
+
+# ---- stored messages, in SQL as operators.search.stored and functions.analyze.tokens give them
+
+_UNESCAPED = "replace(replace(replace(replace(replace(replace(coalesce(content, ''), '&#x27;', ''''), '&#39;', ''''), '&quot;', '\"'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&')"
+_SHARE = "CASE WHEN chat_id >= 0 THEN chat_id WHEN chat_id < -1000000000000 THEN -chat_id - 1000000000000 ELSE -chat_id END"
+_STORED = f"""
+s0 AS (SELECT coalesce(try_cast(nullif(regexp_extract(url, '(?i)/c/([0-9]+)/([0-9]+)', 1), '') AS BIGINT), {_SHARE}) AS chat_id,
+              try_cast(nullif(regexp_extract(url, '(?i)/c/([0-9]+)/([0-9]+)', 2), '') AS BIGINT) AS msg_id, row_id, post_time,
+              coalesce(sender, '') AS sender, {_UNESCAPED} AS content FROM messages),
+s AS (SELECT chat_id, msg_id, 'https://chat.example/c/' || chat_id || '/' || msg_id AS url, sender, content, post_time
+      FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, msg_id ORDER BY post_time DESC NULLS LAST, row_id) AS rn FROM s0 WHERE chat_id IS NOT NULL AND msg_id IS NOT NULL) WHERE rn = 1)"""
+_RUNS = r"regexp_extract_all(regexp_replace(lower(content), '([\x{4e00}-\x{9fff}]+)', ' \1 ', 'g'), '[\p{L}\p{N}_]+')"
+_TOKENS = rf"list_filter(flatten(list_transform({_RUNS}, lambda r: CASE WHEN regexp_matches(r, '^[\x{{4e00}}-\x{{9fff}}]') AND length(r) > 1 THEN list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) ELSE [r] END)), lambda t: length(t) >= 2 OR regexp_matches(t, '^[\x{{4e00}}-\x{{9fff}}]'))"
+_INDEXED = f"{_STORED}, x AS (SELECT *, {_TOKENS} AS tokens FROM s)"
+_CHATS = r"c AS (SELECT id AS chat_id, min(t) AS title FROM (SELECT id, regexp_replace(regexp_replace(name, '^[\s\x{00a0}\x{3000}]+', ''), '[\s\x{00a0}\x{3000}]+$', '') AS t FROM dialogs) WHERE length(t) > 0 GROUP BY id)"
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searching.stored(read_table(spark, sf_dir, "messages"))
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searching.indexed(stored(spark, sf_dir))
+
+
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_list.titles(read_table(spark, sf_dir, "dialogs"))
+
+
+def _has(*words: str) -> str:
+    return "(" + " AND ".join(f"list_contains(tokens, '{w}')" for w in words) + ")"
+
+
+#: Name, query text and the condition it stands for.
+SEARCHES = {
+    "search_term": ("invoices", _has("invoices")),
+    "search_adjacent": ("loan rates", _has("loan", "rates")),
+    "search_and": ("ferry AND visa", _has("ferry", "visa")),
+    "search_or": ("invoices OR счета OR ferry", f"({_has('invoices')} OR {_has('счета')} OR {_has('ferry')})"),
+    "search_not": ("ferry AND NOT tickets", f"{_has('ferry')} AND NOT {_has('tickets')}"),
+    "search_only_not": ("NOT the", f"NOT {_has('the')}"),
+    "search_group": ("NOT ferry AND (loan OR visa)", f"NOT {_has('ferry')} AND ({_has('loan')} OR {_has('visa')})"),
+    "search_phrase": ('"night trains"', "contains(' ' || array_to_string(tokens, ' ') || ' ', ' night trains ')"),
+    "search_cjk": ("贷款利率", _has("贷款", "款利", "利率")),
+    "search_cjk_phrase": ('"贷款利率"', "contains(' ' || array_to_string(tokens, ' ') || ' ', ' 贷款 款利 利率 ')"),
+    "search_cjk_single": ("贷", "contains(content, '贷')"),
+    "search_wildcard": ("t*ets", "len(list_filter(tokens, lambda t: regexp_full_match(t, 't.*ets'))) > 0"),
+    "search_single_wildcard": ("l?an", "len(list_filter(tokens, lambda t: regexp_full_match(t, 'l.an'))) > 0"),
+    "search_prefix": ("ferr*", "len(list_filter(tokens, lambda t: starts_with(t, 'ferr'))) > 0"),
+    "search_field_sender": ("sender:nadia AND tickets", rf"list_contains(regexp_extract_all(lower(sender), '[\p{{L}}\p{{N}}_]+'), 'nadia') AND {_has('tickets')}"),
+    "search_field_chat": ("chat_id:1300000417 AND loan", f"chat_id = 1300000417 AND {_has('loan')}"),
+    "search_time_range": ("post_time:[20240601 TO 20240930] AND loan", f"post_time >= TIMESTAMP '2024-06-01' AND post_time < TIMESTAMP '2024-10-01' AND {_has('loan')}"),
+    "search_time_open": ("post_time:{20251001 TO} AND loan", f"post_time >= TIMESTAMP '2025-10-02' AND {_has('loan')}"),
+    "search_period": ("post_time:202407 AND ferry", f"post_time >= TIMESTAMP '2024-07-01' AND post_time < TIMESTAMP '2024-08-01' AND {_has('ferry')}"),
+    "search_slop": ('"tickets next"~3', "len(list_filter(range(1, len(tokens) + 1), lambda i: tokens[i] = 'next' AND len(list_filter(range(greatest(1, i - 4), i), lambda j: tokens[j] = 'tickets')) > 0)) > 0"),
+    "search_boost": ("ferry^2 OR visa^0.5", f"({_has('ferry')} OR {_has('visa')})"),
+    "search_every": ("*:* ANDNOT the", f"NOT {_has('the')}"),
+    "search_require": ("loan REQUIRE rates", _has("loan", "rates")),
+    "search_andmaybe": ("loan ANDMAYBE ferry", _has("loan")),
+    "search_literal": ("'ferry'", _has("ferry")),
+    "search_no_words": ("?! ...", "false"),
+}
+
+
+def _searcher(asked: str) -> Query:
+    return lambda spark, sf_dir: searching.search(index(spark, sf_dir), asked).select("chat_id", "msg_id", "post_time")
+
+
+for _name, (_text, _where) in SEARCHES.items():
+    QUERIES[_name] = _searcher(_text)
+    ORACLES[_name] = f"WITH {_INDEXED} SELECT chat_id, msg_id, post_time FROM x WHERE {_where}"
+
+_HITS = f"WITH {_INDEXED}, h AS (SELECT * FROM x WHERE {_has('ferry')})"
+_NEWEST = "ORDER BY post_time DESC NULLS LAST, chat_id, msg_id"
+
+
+@query(f"{_HITS} SELECT chat_id, msg_id, post_time FROM h WHERE chat_id IN (1300000417, 1300021863)")
+def search_in_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searching.search(index(spark, sf_dir), "ferry", [1300000417, 1300021863]).select("chat_id", "msg_id", "post_time")
+
+
+@query(f"{_HITS} SELECT chat_id, msg_id, post_time FROM h {_NEWEST} LIMIT 10 OFFSET 10")
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searching.page(searching.search(index(spark, sf_dir), "ferry"), 2).select("chat_id", "msg_id", "post_time")
+
+
+@query(f"{_HITS}, n AS (SELECT count(*) AS n FROM h) SELECT chat_id, msg_id, post_time FROM h {_NEWEST} LIMIT 10 OFFSET (SELECT greatest(0, (n - 1) // 10 * 10) FROM n)")
+def search_page_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searching.page(searching.search(index(spark, sf_dir), "ferry"), 1_000_000).select("chat_id", "msg_id", "post_time")
+
+
+@query(f"{_HITS} SELECT count(*) AS total_results, CAST(ceil(count(*) / 10) AS BIGINT) AS pages, count(*) > 0 AND false AS has_prev, count(*) > 10 AS has_next FROM h")
+def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searching.totals(searching.search(index(spark, sf_dir), "ferry"))
+
+
+
+def _escape_sql(s: str) -> str:
+    return f"replace(replace(replace(replace(replace({s}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+_CUT = r"regexp_extract_all(regexp_replace(content, '([\x{4e00}-\x{9fff}])', chr(1) || '\1' || chr(1), 'g'), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')"
+_BOLD = f"replace(array_to_string(list_transform({_CUT}, lambda w: CASE WHEN lower(w) IN ('ferry', 'tickets') THEN '<b>' || {_escape_sql('w')} || '</b>' ELSE {_escape_sql('w')} END), ''), chr(1), '')"
+
+
+@query(f"{_HITS} SELECT chat_id, msg_id, {_BOLD} AS highlighted FROM h WHERE {_has('tickets')}")
+def search_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = "ferry tickets"
+    hits = searching.search(index(spark, sf_dir), asked)
+    return hits.select("chat_id", "msg_id", searching.highlight(F.col("content"), searching.query_words(asked)).alias("highlighted"))
+
+
+@query(f"{_HITS}, {_CHATS} SELECT h.chat_id, msg_id, coalesce(title, '[unknown chat]') AS title FROM h LEFT JOIN c USING (chat_id)")
+def search_with_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searching.with_titles(searching.search(index(spark, sf_dir), "ferry"), chats(spark, sf_dir)).select("chat_id", "msg_id", "title")
+
+
+@query(f"{_HITS} SELECT chat_id, msg_id, substr(content, CAST(greatest(1, instr(lower(content), 'ferry') - 20) AS BIGINT), 200) AS fragment FROM h")
+def search_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searching.search(index(spark, sf_dir), "ferry").select("chat_id", "msg_id", searching.fragment(F.col("content"), ["ferry"]).alias("fragment"))
+
+
+def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Profile(stop_words=True, stem=True)
+    return searching.search(searching.indexed(stored(spark, sf_dir), p), "arriving tickets", p=p).select("chat_id", "msg_id", "post_time")
+
+
+QUERIES["stemmed_search"] = stemmed_search
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First page of a search with highlights, titles and the total."""
+    asked = "ferry OR loan OR visa"
+    hits = searching.search(index(spark, sf_dir), asked)
+    first = searching.with_titles(searching.page(hits), chats(spark, sf_dir)).crossJoin(searching.totals(hits).select("total_results"))
+    return first.select("chat_id", "msg_id", "title", "post_time", searching.highlight(F.col("content"), searching.query_words(asked)).alias("highlighted"), "total_results")
+
+
+# ---- scalar functions
+
+_PY_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_STRIPPED = rf"regexp_replace(raw_text, '^{_PY_SPACE}+|{_PY_SPACE}+$', '', 'g')"
+_TEXT = f"coalesce(replace({_escape_sql(_STRIPPED)}, chr(10), ' '), '')"
+_NAME = rf"CASE WHEN sender IS NULL THEN '' ELSE regexp_replace(coalesce(sender.first_name, '') || ' ' || coalesce(sender.last_name, ''), '^{_PY_SPACE}+|{_PY_SPACE}+$', '', 'g') END"
+
+
+@query(f"SELECT seq, {_TEXT} AS content FROM incoming")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "incoming").select("seq", text.extract_text(F.col("raw_text")).alias("content"))
+
+
+@query("SELECT row_id, CASE WHEN length(content) < 20 THEN content ELSE substr(content, 1, 16) || '…' || right(content, 2) END AS brief FROM messages")
+def brief_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "messages").select("row_id", text.brief(F.col("content")).alias("brief"))
+
+
+@query(f"SELECT row_id, {_SHARE} AS share_id FROM messages")
+def share_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "messages").select("row_id", ids.share_id(F.col("chat_id")).alias("share_id"))
+
+
+@query(f"SELECT seq, 'https://chat.example/c/' || ({_SHARE}) || '/' || id AS url FROM edits")
+def message_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "edits").select("seq", ids.message_url(ids.share_id(F.col("chat_id")), F.col("id")).alias("url"))
+
+
+@query(f"SELECT seq, {_NAME} AS name FROM incoming")
+def sender_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "incoming").select("seq", text.sender_name(F.col("sender")).alias("name"))
+
+
+@query("SELECT row_id, CASE WHEN content LIKE '/%' OR content LIKE '@%' THEN CASE WHEN instr(content, ' ') > 0 THEN substr(content, instr(content, ' ') + 1) ELSE '' END ELSE content END AS query FROM messages")
+def command_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "messages").select("row_id", text.strip_command(F.col("content")).alias("query"))
+
+
+@query("SELECT seq, array_to_string(deleted_ids, ',') AS csv, deleted_ids AS ids FROM deletes")
+def id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "deletes").select("seq", text.ids_to_csv(F.col("deleted_ids")).alias("csv"))
+    return rows.withColumn("ids", text.csv_to_ids(F.col("csv")))
+
+
+@query(f"""WITH {_STORED}, {_CHATS} SELECT chat_id, msg_id, '<b>' || {_escape_sql("coalesce(title, '[unknown chat]')")} || '</b>' || CASE WHEN length(sender) > 0 THEN ' (<u>' || {_escape_sql('sender')} || '</u>)' ELSE '' END
+ || ' [' || coalesce(strftime(post_time, '%Y-%m-%d %H:%M:%S'), '') || ']' || chr(10) || '<a href="' || url || '">' || {_escape_sql('content')} || '</a>' AS html FROM s LEFT JOIN c USING (chat_id)""")
+def render_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = searching.with_titles(stored(spark, sf_dir), chats(spark, sf_dir))
+    html = text.render_hit(F.col("title"), F.col("sender"), F.col("url"), text.escape(F.col("content")), F.col("post_time"))
+    return rows.select("chat_id", "msg_id", html.alias("html"))
+
+
+# ---- catalogue
+
+
+@query(f"WITH {_STORED} SELECT chat_id, count(*) AS n FROM s GROUP BY chat_id")
+def chat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_list.counts(stored(spark, sf_dir))
+
+
+@query(f"WITH {_STORED} SELECT DISTINCT chat_id FROM s")
+def distinct_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_list.distinct_chats(stored(spark, sf_dir))
+
+
+@query(f"WITH {_STORED} SELECT count(*) AS n FROM s")
+def total_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_STORED} SELECT chat_id, msg_id, post_time, content FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY post_time DESC NULLS LAST, msg_id) AS rn FROM s) WHERE rn = 1")
+def newest_per_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_list.newest(stored(spark, sf_dir))
+
+
+@query(f"WITH {_CHATS} SELECT chat_id, title, title || ' (' || chat_id || ')' AS label FROM c WHERE contains(title, 'Markt')")
+def list_chats_cs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_list.matching(chats(spark, sf_dir), "Markt")
+
+
+@query(f"WITH {_CHATS} SELECT chat_id, title, title || ' (' || chat_id || ')' AS label FROM c WHERE contains(lower(title), 'helpdesk') ORDER BY chat_id LIMIT 50")
+def find_chats_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_list.matching(chats(spark, sf_dir), "HelpDesk", case=False, most=50)
+
+
+@query(f"""WITH {_STORED}, {_CHATS}, l AS (SELECT chat_id, content FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY post_time DESC NULLS LAST, msg_id) AS rn FROM s) WHERE rn = 1),
+n AS (SELECT chat_id, count(*) AS n FROM s GROUP BY chat_id),
+t AS (SELECT chat_id, coalesce(title, '?') || ' (' || chat_id || '): ' || n || ' messages, newest: ' || CASE WHEN length(content) < 20 THEN content ELSE substr(content, 1, 16) || '…' || right(content, 2) END AS line FROM n JOIN l USING (chat_id) LEFT JOIN c USING (chat_id))
+SELECT place, chat_id, line FROM (SELECT row_number() OVER (ORDER BY chat_id) AS place, chat_id, line, sum(length(line) + 1) OVER (ORDER BY chat_id) AS upto FROM t) WHERE upto <= 4000""")
+def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_list.status(stored(spark, sf_dir), chats(spark, sf_dir))
+
+
+def random_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_list.random_message(stored(spark, sf_dir), 7)
+
+
+QUERIES["random_message"] = random_message
+
+# ---- changes
+
+_NEW = f"SELECT seq, {_SHARE} AS chat_id, id AS msg_id, {_NAME} AS sender, {_TEXT} AS content, sent_at AS post_time, arrived_at AS happened FROM (SELECT * REPLACE (CAST(chat_id AS BIGINT) AS chat_id) FROM incoming) WHERE chat_id IS NOT NULL AND chat_id <> 0 AND length({_TEXT}) > 0"
+_LOG = f"""
+g AS (SELECT 'new' AS op, 0 AS rank, * FROM ({_NEW})
+      UNION ALL SELECT 'edit', 1, seq, {_SHARE}, id, NULL, {_TEXT}, NULL, edited_at FROM edits WHERE chat_id <> 0 AND length({_TEXT}) > 0
+      UNION ALL SELECT DISTINCT 'delete', 2, seq, {_SHARE}, unnest(deleted_ids), NULL, NULL, NULL::TIMESTAMP, deleted_at FROM (SELECT * REPLACE (CAST(chat_id AS BIGINT) AS chat_id) FROM deletes) WHERE chat_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY chat_id, msg_id ORDER BY happened, rank, seq) AS k FROM g),
+d AS (SELECT chat_id, msg_id, max(k) AS gone FROM o WHERE op = 'delete' GROUP BY ALL),
+v AS (SELECT o.* FROM o LEFT JOIN d USING (chat_id, msg_id) WHERE op <> 'delete' AND k > coalesce(gone, 0)),
+f AS (SELECT chat_id, msg_id, 'https://chat.example/c/' || chat_id || '/' || msg_id AS url, arg_max(sender, k) FILTER (op = 'new') AS sender, arg_max(content, k) AS content, arg_max(post_time, k) FILTER (op = 'new') AS post_time
+      FROM v GROUP BY chat_id, msg_id HAVING count(*) FILTER (op = 'new') > 0)"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.merged(*(read_table(spark, sf_dir, t) for t in ("incoming", "edits", "deletes")))
+
+
+@query(f"WITH {_LOG} SELECT * FROM f")
+def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.fold(_log(spark, sf_dir))
+
+
+@query(f"WITH {_STORED} SELECT s.chat_id, s.msg_id FROM s WHERE (chat_id, msg_id) NOT IN (SELECT ({_SHARE}), m FROM (SELECT CAST(chat_id AS BIGINT) AS chat_id, unnest(deleted_ids) AS m FROM deletes WHERE chat_id IS NOT NULL))")
+def apply_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = changes.from_deletes(read_table(spark, sf_dir, "deletes")).select("chat_id", "msg_id").distinct()
+    return stored(spark, sf_dir).join(gone, ["chat_id", "msg_id"], "left_anti").select("chat_id", "msg_id")
+
+
+@query(f"WITH {_STORED} SELECT chat_id, msg_id FROM s WHERE chat_id NOT IN (SELECT id FROM dialogs WHERE contains(lower(name), 'helpdesk'))")
+def clear_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = read_table(spark, sf_dir, "dialogs").where(F.lower("name").contains("helpdesk")).select(F.col("id").alias("chat_id"))
+    return changes.without(stored(spark, sf_dir), gone).select("chat_id", "msg_id")
+
+
+@query(f"WITH {_STORED} SELECT chat_id, msg_id, url, sender, content, post_time FROM s")
+def dedupe_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir)
+
+
+@query(f"SELECT chat_id, msg_id, sender, content, post_time FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, msg_id ORDER BY seq DESC) AS rn FROM ({_NEW}) WHERE msg_id > 10 AND msg_id < 500) WHERE rn = 1")
+def history_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.history(read_table(spark, sf_dir, "incoming"), None, 10, 500).select("chat_id", "msg_id", "sender", "content", "post_time")
+
+
+@query(f"SELECT seq, chat_id, msg_id FROM ({_NEW}) WHERE chat_id IN (SELECT id FROM dialogs)")
+def monitored_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    watched = read_table(spark, sf_dir, "dialogs").select(F.col("id").alias("chat_id"))
+    return changes.monitored(changes.from_messages(read_table(spark, sf_dir, "incoming")), watched).select("seq", "chat_id", "msg_id")
+
+
+@query(f"SELECT seq, chat_id, msg_id FROM ({_NEW}) WHERE chat_id NOT IN (SELECT id FROM dialogs)")
+def excluded_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = read_table(spark, sf_dir, "dialogs").select(F.col("id").alias("chat_id"))
+    return changes.monitored(changes.from_messages(read_table(spark, sf_dir, "incoming")), named, exclude=True).select("seq", "chat_id", "msg_id")
