@@ -34,7 +34,8 @@ class Params:
     """rounds: of propagation; share: of the sentences a subject needs; least_share, least: of documents (and number) a term needs.
 
     seen, lift: a term found `seen` times in seeds must be `lift` times as common in some subject as in all.
-    none: log weight of no subject; free: weight of unlabelled passages beside seeds; cells: size of the frequency table.
+    none: log weight of no subject; free: weight of unlabelled passages beside seeds; cells: size of the frequency table;
+    sent: most terms whose weights (72 bytes each) go to the executors whole.
     """
 
     rounds: int = 3
@@ -46,6 +47,7 @@ class Params:
     none: float = 1.4
     free: float = 0.3
     cells: int = 1 << 22
+    sent: int = 200_000
 
 
 _BREAK = re.compile(r"""(?<!\b[A-ZÀ-ÞА-ЯЁ])[.!?…]+["”»')\]]*\s+|[。！？]+|\s[/—–|•]\s|\n""")
@@ -118,7 +120,10 @@ def term_table(docs: DataFrame, p: Params) -> tuple[np.ndarray, int]:
 
 
 def _passages(docs: DataFrame, keep: np.ndarray, flat: np.ndarray, p: Params) -> DataFrame:
-    """doc_id, sentences, passages: array of (pid, terms, n). keep: cells of terms common enough; flat: terms that link nothing."""
+    """doc_id, sentences (of the document, in its first row), pid, n, terms: a row for each different passage of a document.
+
+    keep: cells of terms common enough; flat: terms that link nothing.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((np.packbits(keep), np.sort(flat)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +150,21 @@ def _passages(docs: DataFrame, keep: np.ndarray, flat: np.ndarray, p: Params) ->
                 pid = np.add.reduceat(mix(terms * _M[1]), start[:-1][full]) if len(full) else np.empty(0, np.uint64)
                 doc = np.repeat(np.arange(len(split)), [len(x) for x in split])[full] if len(parts) else full
                 ids = b.column(0).to_numpy()
-                lists = pa.ListArray.from_arrays(pa.array(np.append(start[:-1][full], len(terms)).astype(np.int32)), pa.array(terms.view(np.int64)))
+                # equal passages of one document become one row, the first of each document is marked
+                order = np.lexsort((pid, doc))
+                d, q = doc[order], pid[order]
+                first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (q[1:] != q[:-1])])) if len(d) else order
+                times = np.diff(np.append(first, len(d))).astype(np.int32)
+                d, at = d[first], full[order[first]]
+                head = np.concatenate([[True], d[1:] != d[:-1]]) if len(d) else np.empty(0, bool)
+                lengths = (start[1:] - start[:-1])[at]
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                values = terms[np.repeat(start[:-1][at] - offsets[:-1], lengths) + np.arange(offsets[-1])] if len(at) else terms[:0]
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
                 n = np.array([len(x) for x in split], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(n[doc]), pa.array(pid.view(np.int64)), lists], names=["doc_id", "sentences", "pid", "terms"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(np.where(head, n[d], 0).astype(np.int32)), pa.array(q[first].view(np.int64)), pa.array(times), lists], names=["doc_id", "sentences", "pid", "n", "terms"])
 
-    return docs.mapInArrow(run, "doc_id long, sentences int, pid long, terms array<long>")
+    return docs.mapInArrow(run, "doc_id long, sentences int, pid long, n int, terms array<long>")
 
 
 def _sums(cols: list[Column]) -> list[Column]:
@@ -169,8 +184,8 @@ def _posterior(scores: list[Column], none: float) -> list[Column]:
 def subjects(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, subject, share): each subject that at least p.share of the document's sentences take.
 
-    Null and empty texts have no subject. Labels of unknown documents or subjects are ignored; repeated labels and rows
-    of a document count once. Without usable labels there are no rows.
+    Null and empty texts have no subject. Labels of unknown documents or subjects are ignored; repeated labels
+    count once, repeated rows of a document as one document with the sentences of all. Without usable labels there are no rows.
     """
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     mask = [F.max(F.when(F.col("subject") == s, 1.0).otherwise(0.0)).alias(f"m{k}") for k, s in enumerate(SUBJECTS)]
@@ -181,7 +196,7 @@ def subjects(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: s
     # terms of labelled documents; at most (terms a document) / least_share different ones are common enough
     marked = _passages(src.join(seeds, F.col("doc_id") == F.col("seed"), "left_semi"), keep, np.empty(0, np.uint64), p).join(seeds, F.col("doc_id") == F.col("seed"))
     total = sum([F.col(f"m{k}") for k in range(1, len(_W))], F.col("m0"))
-    counts = durable(marked.select(F.explode("terms").alias("term"), *[(F.col(f"m{k}") / total).alias(f"w{k}") for k in range(len(_W))]).groupBy("term").agg(*_sums([F.col(w) for w in _W])), "subject-seeds")
+    counts = durable(marked.select(F.explode("terms").alias("term"), *[(F.col("n") * F.col(f"m{k}") / total).alias(f"w{k}") for k in range(len(_W))]).groupBy("term").agg(*_sums([F.col(w) for w in _W])), "subject-seeds")
     prior = counts.agg(*_sums([F.col(w) for w in _W])).first()
     whole = sum(x or 0.0 for x in prior)
     if not whole:
@@ -196,7 +211,7 @@ def subjects(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: s
     size = sum([F.col(w) for w in _W[1:]], F.col("w0"))
     lean = F.greatest(*[F.col(w) / size / F.lit(q) for w, q in zip(_W, share)])
     even = [r[0] for r in counts.where((size >= p.seen) & (lean < p.lift)).select("term").collect()]  # bounded like counts
-    edges = durable(_passages(src, keep, np.array(even, dtype=np.int64).view(np.uint64), p).groupBy("doc_id", "sentences", "pid").agg(F.count("*").alias("n"), F.first("terms").alias("terms")), "subject-passages")
+    edges = durable(_passages(src, keep, np.array(even, dtype=np.int64).view(np.uint64), p), "subject-passages")
     nodes = durable(edges.groupBy("pid").agg(F.sum("n").alias("n"), F.first("terms").alias("terms")), "subject-nodes")
     parts = nodes.select("pid", F.explode("terms").alias("term"))
     clamped = durable(edges.join(seeds, F.col("doc_id") == F.col("seed")).select("pid", "n", "terms", *[f"m{k}" for k in range(len(_W))]), "subject-clamped")
@@ -204,12 +219,14 @@ def subjects(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: s
     weights = counts
     for step in range(p.rounds + 1):
         logs = weights.select("term", *[s.alias(w) for s, w in zip(scores([F.col(w) for w in _W]), _W)])
-        scored = parts.join(logs, "term").groupBy("pid").agg(*_sums([F.col(w) for w in _W]))
-        labelled = durable(scored.select("pid", *[x.alias(w) for x, w in zip(_posterior([F.col(w) for w in _W], p.none), _W)]), "subject-labels")
+        # the bound above makes the terms few whatever the input; were they more, the join shuffles
+        few = weights.count() <= p.sent
+        scored = parts.join(F.broadcast(logs) if few else logs, "term").groupBy("pid").agg(*_sums([F.col(w) for w in _W]))
+        labelled = durable(scored.select("pid", *[x.cast("float").alias(w) for x, w in zip(_posterior([F.col(w) for w in _W], p.none), _W)]), "subject-labels")
         if step == p.rounds:
             break
         own = [F.col(w) * F.col(f"m{k}") for k, w in enumerate(_W)]
-        rest = F.lit(1.0) - sum([F.col(w) for w in _W[1:]], F.col("w0"))
+        rest = F.greatest(F.lit(1.0) - sum([F.col(w) for w in _W[1:]], F.col("w0")), F.lit(0.0))
         held = sum(own[1:], own[0]) + rest + 1e-9
         from_seeds = clamped.join(labelled, "pid").select(F.explode("terms").alias("term"), *[(F.col("n") * x / held).alias(w) for x, w in zip(own, _W)])
         from_rest = nodes.join(labelled, "pid").select(F.explode("terms").alias("term"), *[(F.col("n") * F.col(w) * p.free).alias(w) for w in _W])
@@ -218,8 +235,10 @@ def subjects(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: s
     rest = F.lit(1.0) - sum([F.col(w) for w in _W[1:]], F.col("w0"))
     which = F.coalesce(*[F.when(F.col(w) == best, F.lit(s)) for w, s in zip(_W, SUBJECTS)])
     taken = labelled.where(best > rest).select("pid", which.alias("subject"))
-    per = edges.select("doc_id", "sentences", "pid", "n").join(taken, "pid").groupBy("doc_id", "subject").agg((F.sum("n") / F.max("sentences")).alias("share"))
-    return per.where(F.col("share") >= p.share - 1e-9)
+    each = edges.select("doc_id", "sentences", "pid", "n").join(taken, "pid", "left")
+    per = each.groupBy("doc_id").agg(F.sum("sentences").alias("sentences"), *[F.sum(F.when(F.col("subject") == s, F.col("n"))).alias(s) for s in SUBJECTS])
+    rows = per.select("doc_id", F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), (F.col(s) / F.col("sentences")).alias("share")) for s in SUBJECTS])).alias("x")).select("doc_id", "x.*")
+    return rows.where(F.col("share") >= p.share - 1e-9)
 
 
 def found(docs: DataFrame, labels: DataFrame) -> DataFrame:
