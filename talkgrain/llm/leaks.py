@@ -44,18 +44,19 @@ class Params:
 
 def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, units joined by spaces, each text begun by a line break; start of each text (end appended)."""
+    if not texts:
+        return np.empty(0, np.uint32), np.zeros(1, np.int64)
     chars, at = code_points(texts)
     kind = _kinds()[chars]
     begins = kind == 2
     word = kind == 1
-    if len(word):
-        begins[0] |= word[0]
+    begins[0] |= word[0]
     begins[1:] |= word[1:] & ~word[:-1]
     kept = kind > 0
     place = np.cumsum(kept.astype(np.int64) + begins)
     row_first = np.searchsorted(np.flatnonzero(begins), at[:-1])
     # every text begins with a mark of its own, also one without units
-    out = np.full((place[-1] if len(place) else 0) + len(texts), 32, dtype=np.uint32)
+    out = np.full(place[-1] + len(texts), 32, dtype=np.uint32)
     shift = np.repeat(np.arange(1, len(texts) + 1), np.diff(at))
     out[place[kept] - 1 + shift[kept]] = chars[kept]
     before = np.concatenate([[0], place])[at[:-1]]

@@ -63,7 +63,7 @@ def _macros() -> list[str]:
     for c in common:
         opened = f"replace({opened}, {_quote(c)}, {_quote(ligatures[c])})"
     rest = [c for c in ligatures if c not in common]
-    table = "MAP {" + ", ".join(f"{_quote(c)}: {_quote(ligatures[c])}" for c in rest) + "}"
+    table = "MAP {" + ", ".join(f"{_quote(c)}: {_quote(form)}" for c, form in ligatures.items()) + "}"
     rare = "[" + "".join(rest) + "]"
     piece = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+"
     cyrillic_only = r"[\p{Cyrillic}]"
