@@ -201,15 +201,16 @@ def subjects(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: s
     whole = sum(x or 0.0 for x in prior)
     if not whole:
         return docs.sparkSession.createDataFrame([], "doc_id long, subject string, share double")
-    share = [max((x or 0.0) / whole, 1e-4) for x in prior]
+    share = [(x or 0.0) / whole for x in prior]
 
     def scores(ws: list[Column]) -> list[Column]:
         """Log of how much more a term leans to each subject than all terms do, shrunk where it is rare."""
         both = sum(ws[1:], ws[0]) + 1.0
-        return [F.log((w + F.lit(q)) / both / F.lit(q)) for w, q in zip(ws, share)]
+        # a subject without seeds can't be told and never spreads
+        return [F.log((w + F.lit(q)) / both / F.lit(q)) if q else F.lit(-50.0) for w, q in zip(ws, share)]
 
     size = sum([F.col(w) for w in _W[1:]], F.col("w0"))
-    lean = F.greatest(*[F.col(w) / size / F.lit(q) for w, q in zip(_W, share)])
+    lean = F.greatest(F.lit(0.0), *[F.col(w) / size / F.lit(q) for w, q in zip(_W, share) if q])
     even = [r[0] for r in counts.where((size >= p.seen) & (lean < p.lift)).select("term").collect()]  # bounded like counts
     edges = durable(_passages(src, keep, np.array(even, dtype=np.int64).view(np.uint64), p), "subject-passages")
     nodes = durable(edges.groupBy("pid").agg(F.sum("n").alias("n"), F.first("terms").alias("terms")), "subject-nodes")
