@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkgrain.config import Frontend
-from talkgrain.functions.text import chat_label, render_hit
+from talkgrain.functions.text import chat_label, render_hit, unescape
 from talkgrain.operators import chats as chat_list
 from talkgrain.operators import search as searching
 from talkgrain.sources.store import MessageStore
@@ -104,6 +104,7 @@ class Frontdesk:
         if not query.strip():
             return None
         began, live = time.time(), self.store.live()
+        live = live.withColumn("content", unescape(F.col("content")))  # stored escaped; hits are escaped anew
         if chat_list.is_empty(live):
             return Reply("The index is empty; add a chat first")
         hits = searching.search(searching.indexed(live), query, chats)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talkgrain import schema
 from talkgrain.operators import changes
@@ -45,7 +46,7 @@ class MessageStore:
         return changes.fold(self.log())
 
     def get(self, url: str) -> DataFrame:
-        return self.live().where(self.live()["url"] == url).limit(1)
+        return self.live().where(F.col("url") == url).limit(1)
 
     def count(self, **fields: object) -> int:
         rows = self.live()
