@@ -187,8 +187,13 @@ def label_code(label: Column) -> Column:
 
 def train(df: DataFrame, id_col: str, text: str, label: str, p: Params) -> Model:
     """Fit on at most p.sample rows with a label, those first by hash of the id."""
-    rows = df.select(F.col(text).alias("t"), label_code(F.col(label)).alias("l"), F.xxhash64(id_col).alias("h")).where(F.col("l").isNotNull() & (F.length("t") > 20)).orderBy("h").limit(p.sample).collect()
-    return fit([r["t"] for r in rows], [r["l"] for r in rows], p)
+    known = df.where(label_code(F.col(label)).isNotNull())
+    rows = known.select(F.col(text).alias("t"), label_code(F.col(label)).alias("l"), F.xxhash64(id_col).alias("h")).where(F.length("t") > 20)
+    n = known.count()
+    if n > 2 * p.sample:  # keep what each task sends to the driver to its part of the sample
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int(2 * p.sample / n * (1 << 30))))
+    got = rows.orderBy("h").limit(p.sample).collect()
+    return fit([r["t"] for r in got], [r["l"] for r in got], p)
 
 
 def assign(df: DataFrame, id_col: str, text: str, model: Model) -> DataFrame:
