@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from talkgrain.functions.analyze import PLAIN, Profile, stemmed, tokens
 from talkgrain.functions.ids import message_url, share_id, url_msg, url_share
 from talkgrain.functions.text import escape, unescape
-from talkgrain.plans.compiling import compile_query, words_of
+from talkgrain.plans.compiling import compile_query, needed, words_of
 from talkgrain.plans.language import And, Or, Phrase, Term, parse
 
 PAGE = 10
@@ -40,7 +40,9 @@ def search(index: DataFrame, query: str, chats: Iterable[int] | None = None, p:
     """All matching messages; chats restricts to some, None and an empty list to none. Not ordered."""
     ids = sorted(set(chats or ()))
     rows = index.where(F.col("chat_id").isin(*ids)) if ids else index
-    return rows.where(compile_query(parse(query), p))
+    tree = parse(query)
+    first = needed(tree, p)  # spares the tokens of rows without the words
+    return (rows if first is None else rows.where(first)).where(compile_query(tree, p))
 
 
 def newest_first() -> list[Column]:

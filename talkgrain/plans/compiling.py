@@ -57,6 +57,22 @@ def compile_query(node, p: Profile = PLAIN) -> Column:
     return F.coalesce(_compile(node, p), F.lit(False))
 
 
+def needed(node, p: Profile = PLAIN) -> Column | None:
+    """A cheap condition on content that every match meets: its words occur in it. None where there is none."""
+    if p.stem or isinstance(node, Not):
+        return None
+    if isinstance(node, (And, Or)):
+        parts = [needed(x, p) for x in node.parts]
+        if isinstance(node, Or) and any(x is None for x in parts):
+            return None
+        parts = [x for x in parts if x is not None]
+        return reduce(Column.__or__ if isinstance(node, Or) else Column.__and__, parts) if parts else None
+    if isinstance(node, (Term, Phrase)) and node.field == "content":
+        words = [node.text] if isinstance(node, Term) and node.exact else words_of(node.text, p)
+        return reduce(Column.__and__, [F.lower("content").contains(w) for w in words]) if words else None
+    return None
+
+
 def _compile(node, p: Profile) -> Column:
     if isinstance(node, And):
         return reduce(Column.__and__, [_compile(x, p) for x in node.parts])
