@@ -213,7 +213,8 @@ def assign(df: DataFrame, id_col: str, text: str, model: Model) -> DataFrame:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
-                split = [sentences(plain(t)) for t in b.column(1).to_pylist()]
+                texts = b.column(1).to_pylist()
+                split = [sentences(plain(t)) for t in texts]
                 parts = [s for x in split for s in x]
                 which, conf, gap, letters, cjk = _decide(parts, m)
                 strong = (gap >= p.gap) & ((letters >= p.sentence_letters) | (cjk * 3 >= p.sentence_letters))
@@ -224,6 +225,9 @@ def assign(df: DataFrame, id_col: str, text: str, model: Model) -> DataFrame:
                     i = j
                 n = np.add.reduceat(np.append(letters, 0), np.minimum(np.cumsum([0, *map(len, split)])[:-1], len(letters))) if parts else np.zeros(len(split), np.int64)
                 n = np.where([bool(x) for x in split], n, 0)
+                # links and tags count as letters too where that may decide
+                for k in np.flatnonzero(n < p.least_letters):
+                    n[k] = sum(map(str.isalpha, texts[k])) if texts[k] else 0
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(n, pa.int32()), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], seg)],
                     names=["id", "letters", "lang", "confidence", "segments"],
