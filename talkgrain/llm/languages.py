@@ -41,7 +41,7 @@ class Params:
     log_features: int = 14
     least_letters: int = 20
     sentence_letters: int = 18
-    gap: float = 2.1
+    gap: float = 2.6
 
 
 @cache
@@ -91,8 +91,8 @@ def _kinds() -> np.ndarray:
     return kind
 
 
-def features(parts: list[str], log_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram of each place of all parts, start of each part's (end appended), and each part's number of letters and of CJK letters."""
+def features(parts: list[str], log_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Trigram of each place of all parts, start of each part's (end appended), and each part's letters, CJK letters and Cyrillic letters."""
     low = [p.lower() for p in parts]
     chars = np.frombuffer(("  " + "  ".join(low) + "  ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     at = np.zeros(len(low) + 1, dtype=np.int64)
@@ -106,16 +106,18 @@ def features(parts: list[str], log_features: int) -> tuple[np.ndarray, np.ndarra
     tri *= np.uint32(0x2C1B3C6D)
     index = (tri >> np.uint32(32 - log_features)).astype(np.int64)
     if not len(low):
-        return index[:0], at, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return index[:0], at, none, none, none
     letters = np.add.reduceat((mid > 0).astype(np.int64), at[:-1])
     cjk = np.add.reduceat((mid == 2).astype(np.int64), at[:-1])
+    cyrillic = np.add.reduceat(((mid == 1) & (c[1:-1] >= 0x400) & (c[1:-1] < 0x530)).astype(np.int64), at[:-1])
     # Latin words within a sentence of another script are names
     latin = (mid == 1) & (c[1:-1] < 0x370)
     other = letters - np.add.reduceat(latin.astype(np.int64), at[:-1])
     foreign = np.repeat(other * 6 >= letters, np.diff(at))
     foreign = np.append(foreign, np.zeros(len(latin) - len(foreign), bool))
     index = np.where((mid == 0) | (latin & foreign), 1 << log_features, index)  # a row of zeros
-    return index[: at[-1]], at, letters, cjk
+    return index[: at[-1]], at, letters, cjk, cyrillic
 
 
 def margins(index: np.ndarray, at: np.ndarray, letters: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -132,10 +134,12 @@ class Model:
     trust: np.ndarray
     p: Params
 
-    def decode(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest codeword by weighted logistic loss, its confidence, and the gap to the next."""
+    def decode(self, z: np.ndarray, ruled_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest codeword by weighted logistic loss, its confidence, and the gap to the next. ruled_out: (sentence, language)."""
         code = codewords(self.p.bits)
         loss = np.einsum("b,scb->sc", self.trust, np.logaddexp(0, -z[:, None, :] * code[None, :, :]))
+        if ruled_out is not None:
+            loss += 50.0 * ruled_out
         order = np.sort(loss, axis=1)
         odds = np.exp(-(loss - order[:, :1]) * 2)
         return loss.argmin(axis=1), 1 / odds.sum(axis=1), order[:, 1] - order[:, 0]
@@ -147,7 +151,7 @@ def fit(texts: list[str], labels: list[str], p: Params) -> Model:
         for s in sentences(plain(t)):
             parts.append(s)
             y.append(LANGUAGES.index(lab))
-    index, at, letters, _ = features(parts, p.log_features)
+    index, at, letters, _, _ = features(parts, p.log_features)
     y = np.array(y, dtype=np.int64)
     size, code = (1 << p.log_features) + 1, codewords(p.bits)
     use = letters >= 8
@@ -236,12 +240,22 @@ def assign(df: DataFrame, id_col: str, text: str, model: Model) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
+def _other_scripts(letters: np.ndarray, cjk: np.ndarray, cyrillic: np.ndarray) -> np.ndarray:
+    """Languages a sentence can't be in: those whose script it lacks, and all others where a quarter of it is in that script."""
+    out = np.zeros((len(letters), len(LANGUAGES)), dtype=bool)
+    for lang, n in (("zh", cjk), ("ru", cyrillic)):
+        k = LANGUAGES.index(lang)
+        out[:, k] |= n == 0
+        out[(n * 4 >= letters) & (n > 0)] |= np.arange(len(LANGUAGES)) != k
+    return out
+
+
 def _decide(parts: list[str], m: Model) -> tuple[np.ndarray, ...]:
     if not parts:
         zero = np.zeros(0, np.int64)
         return zero, zero, zero, zero, zero
-    index, at, letters, cjk = features(parts, m.p.log_features)
-    which, conf, gap = m.decode(margins(index, at, letters, m.weights))
+    index, at, letters, cjk, cyrillic = features(parts, m.p.log_features)
+    which, conf, gap = m.decode(margins(index, at, letters, m.weights), _other_scripts(letters, cjk, cyrillic))
     return which, conf, gap, letters, cjk
 
 
