@@ -7,7 +7,10 @@ their class. Two sets of similarity t or more share at least one signature when
 
     sum over classes c of max(tokens of c in the prefix - (k_c - 1), 0)  >=  |x| - ceil(t |x|) + 1,
 
-k_c being the size of the combinations of class c: below that, each class hides at most k_c - 1 shared tokens.
+k_c being the size of the combinations of class c: below that, each class hides at most k_c - 1 shared tokens. A short
+set may hide too many of its tokens in different classes to get there; up to the size where that can happen (and for
+the sets such a one may be similar to) all frequent tokens are one class, whose k is at most the tokens two different
+similar sets share.
 Equal signatures give candidate pairs, whose exact similarity is then computed from the whole texts. Records with
 equal sets form one class and enter the search once; links between classes are returned, and copies are expanded
 only by `row_pairs`.
@@ -141,10 +144,26 @@ def _parity(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(rows, _WORDS)
 
 
-def _signatures(tok: np.ndarray, code: np.ndarray, need: int, parts: int, pair: int, triple: int) -> np.ndarray:
-    """Signatures of one set whose tokens are given in the global order."""
-    kind = 1 + (code > pair).astype(np.int64) + (code > triple)
-    group = np.where(kind == 1, 0, (kind - 2) * parts + 1 + (mix(tok) % np.uint64(parts)).astype(np.int64))
+def _short(p: Params) -> tuple[int, int, int]:
+    """Largest size of sets whose classes may hide too many tokens, of sets similar to these, and k of their one class.
+
+    Classes hide at most 3 p.parts tokens, which is too many where t n <= 3 p.parts. The smallest set with a different one
+    of similarity t has n tokens, n / (n + 1) >= t, and any such pair shares at least t n of them.
+    """
+    t = p.similarity
+    most = int(3 * p.parts / t + 1e-6)
+    k = min(3, max(1, math.ceil(t * max(1, math.ceil(t / (1 - t) - 1e-6)) - 1e-6))) if t < 1 else 3
+    return most, int(most / t + 1e-6), k
+
+
+def _signatures(tok: np.ndarray, code: np.ndarray, need: int, parts: int, pair: int, triple: int, one: int = 0) -> np.ndarray:
+    """Signatures of one set whose tokens are given in the global order; one: k of all frequent tokens as one class."""
+    if one:
+        kind = np.where(code > pair, one, 1)
+        group = (code > pair).astype(np.int64)
+    else:
+        kind = 1 + (code > pair).astype(np.int64) + (code > triple)
+        group = np.where(kind == 1, 0, (kind - 2) * parts + 1 + (mix(tok) % np.uint64(parts)).astype(np.int64))
     # extend the prefix: every token counts but the first k - 1 of its class
     counts = kind == 1
     for g, k in {(int(g), int(k)) for g, k in zip(group, kind) if k > 1}:
@@ -154,7 +173,7 @@ def _signatures(tok: np.ndarray, code: np.ndarray, need: int, parts: int, pair:
     out = [tok[(kind == 1) & (code > 0)]]
     for g in set(group[kind > 1].tolist()):
         own = np.sort(tok[group == g])
-        k = 2 if g <= parts else 3
+        k = one or (2 if g <= parts else 3)
         if len(own) < k:
             continue
         if k == 2:
@@ -180,6 +199,11 @@ def signatures(sets: DataFrame, table: np.ndarray, p: Params) -> DataFrame:
     sent = spark.sparkContext.broadcast(table.tobytes())
     pair, triple, t = _code_of(p.pair_df), _code_of(p.triple_df), p.similarity
     step = math.log(1 / t)
+    short, reach, one = _short(p)
+
+    def parts(k: int) -> int:
+        """Classes of band k: few enough for its smallest sets, which have more than p.large t^(2 - k) tokens."""
+        return max(p.parts, min(int(p.large * (1 / t) ** k) // 64, int(p.large * t ** (3 - k) / 3))) if k else p.parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer(sent.value, dtype=np.uint8)
@@ -202,14 +226,18 @@ def signatures(sets: DataFrame, table: np.ndarray, p: Params) -> DataFrame:
             sigs, whose = [tok[take]], [np.repeat(np.arange(len(n)), n)[take]]
             for i in np.flatnonzero(~plain & (n > 0)):
                 x, c = tok[at[i] : at[i + 1]], code[at[i] : at[i + 1]]
-                if n[i] <= p.large * t:
-                    got = _signatures(x, c, need[i], p.parts, pair, triple)
-                else:  # one set of signatures for each band of sizes it may meet
-                    band = 0 if n[i] <= p.large else 1 + int(math.log(n[i] / p.large) / step)
-                    got = np.concatenate([
-                        mix(_signatures(x, c, need[i], max(p.parts, int(p.large * (1 / t) ** k) // 64), pair, triple) + np.uint64(k)) if k else _signatures(x, c, need[i], p.parts, pair, triple)
-                        for k in (band, band + 1)
-                    ])
+                got = []
+                if n[i] <= reach:
+                    got.append(_signatures(x, c, need[i], p.parts, pair, triple, one))
+                if n[i] > short:
+                    if n[i] <= p.large * t:
+                        got.append(_signatures(x, c, need[i], p.parts, pair, triple))
+                    else:  # one set of signatures for each band of sizes it may meet
+                        band = 0 if n[i] <= p.large else 1 + int(math.log(n[i] / p.large) / step)
+                        for k in (band, band + 1):
+                            own_sigs = _signatures(x, c, need[i], parts(k), pair, triple)
+                            got.append(mix(own_sigs + np.uint64(k)) if k else own_sigs)
+                got = np.unique(np.concatenate(got))
                 sigs.append(got)
                 whose.append(np.full(len(got), i))
             flat, whose = np.concatenate(sigs), np.concatenate(whose)

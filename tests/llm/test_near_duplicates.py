@@ -55,6 +55,25 @@ def test_against_brute_force(spark, seed, p):
     assert {tuple(r) for r in got} == brute(rows, p)
 
 
+@pytest.mark.parametrize("seed,p", [
+    (1, nd.Params()),
+    (2, nd.Params(pair_df=4, triple_df=16)),
+    (3, nd.Params(similarity=0.7, pair_df=4, triple_df=16)),
+    (4, nd.Params(similarity=0.7, pair_df=4, triple_df=16, large=12)),
+    (5, nd.Params(similarity=0.5, pair_df=4, triple_df=16, large=16)),
+])
+def test_short_records_of_frequent_tokens(spark, seed, p):
+    rng = random.Random(seed)
+    rows = []
+    for g in range(20):
+        greeting = [f"g{g}x{i}" for i in range(rng.randint(7, 24))]
+        for i in range(22):
+            more = [f"m{g}x{i}x{k}" for k in range(rng.randint(1, 2))]
+            rows.append((len(rows), None, " ".join(greeting + more if i % 2 else more + greeting), "", ""))
+        rows.append((len(rows), None, " ".join(greeting), "", ""))
+    assert {tuple(r) for r in nd.message_pairs(spark.createDataFrame(rows, SCHEMA), p).collect()} == brute(rows, p)
+
+
 def test_edge_cases(spark):
     long = " ".join(f"word{i}" for i in range(30_000))
     rows = [(1, "https://h/c/1/1", None, "", ""), (2, "https://h/c/1/2", "", "", ""), (3, "https://h/c/1/3", "too short", "", ""), (4, "https://h/c/1/4", long, "", ""), (5, "https://h/c/1/5", long + " more", "", ""), (None, "https://h/c/1/6", long, "", ""),
