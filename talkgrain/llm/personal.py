@@ -4,7 +4,7 @@ Regular expressions propose spans on a folded text (invisible characters dropped
 look-alike letters brought to plain ones, each place knowing where it came from). Every proposal has a score by its
 shape; checksum validators (Luhn, mod 97, mod 23, mod 11) raise it, words nearby raise or lower it. Spans of at least
 `THRESHOLD` stay; where two overlap the better one does. Names need a first name and a surname: first names, surname
-endings and full Chinese names are learned from a bounded sample of senders, in which people write their own.
+endings and full Chinese names are learned from all senders, in which people write their own.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkgrain.llm.lookalikes import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, LATIN, LATIN_AS
+from talkgrain.session import durable
 
 THRESHOLD = 0.6
 KINDS = ("email", "phone", "idnum", "address", "name")
@@ -173,75 +175,104 @@ _ZH_HINT = re.compile(r"[路街道巷弄同]\d")
 _DIGIT = re.compile(r"\d")
 _SURNAME = r"([^\W\d_]{2,}(?:[-’'][^\W\d_]{2,})?)"
 _AFTER, _BEFORE = re.compile(rf"(?: [^\W\d_]\.)?(?: |, ){_SURNAME}"), re.compile(rf"{_SURNAME}, \Z")
+_FIRST = re.compile(r"(?<![\w@.+-])[^\W\d_]{2,}(-[^\W\d_]{2,})?(?![\w@+])")
+#: A hyphen inside a name, not one that begins a note.
+_HYPHEN = re.compile(r"(?<=[^\W\d_][^\W\d_])-(?=[^\W\d_]{2})")
 _HAN, _CYRILLIC_TEXT = re.compile(r"[一-鿿]"), re.compile(r"[А-я]")
 
 
 @dataclass
 class Names:
-    """first names, surname endings and Chinese names (surname parts, given parts), all folded and lower-cased."""
+    """first names, surname endings and Chinese names, all folded and lower-cased.
+
+    Chinese names: surnames, given names of two characters, and whole names whose given name has one.
+    """
 
     first: set[str] = field(default_factory=set)
     endings: set[str] = field(default_factory=set)
     han_sur: set[str] = field(default_factory=set)
     han_given: set[str] = field(default_factory=set)
+    han_whole: set[str] = field(default_factory=set)
 
-    def patterns(self) -> tuple[re.Pattern | None, re.Pattern | None]:
-        west = han = None
-        if self.first and self.endings:
-            forms = {f for x in self.first for f in (x.capitalize(), x.upper())}
-            west = re.compile(rf"(?<![\w@.+-])(?:{'|'.join(sorted(map(re.escape, forms), key=len, reverse=True))})(?![\w@+])")
-        if self.han_sur and self.han_given:
-            han = re.compile(f"(?:{'|'.join(sorted(map(re.escape, self.han_sur), key=len, reverse=True))})(?:{'|'.join(sorted(map(re.escape, self.han_given)))})")
-        return west, han
+    def forms(self) -> set[str]:
+        """First names as they are written."""
+        return {f for x in self.first for f in ("-".join(p.capitalize() for p in x.split("-")), x.upper())} if self.endings else set()
 
     def surname(self, s: str | None) -> bool:
         return bool(s) and s[0].isupper() and all(p[-3:].lower() in self.endings and p[0].isupper() for p in re.split(r"[-’']", s))
 
 
+def parts(sender: str | None) -> list[tuple[str, str, str]]:
+    """What a sender may tell of names: (west, first name, surname), (han, surname, given name of two) or (one, surname, given name of one)."""
+    s = re.sub(r"\s*(?:[-|(<☎+].*|tel\b.*|no\..*|\d.*)$", "", _HYPHEN.sub("\0", fold(sender or "")[0])).strip().replace("\0", "-")
+    if re.fullmatch(r"[一-鿿]{2,4}", s):
+        return [("han", s[:-2], s[-2:])] * (len(s) > 2) + [("one", s[:-1], s[-1:])] * (len(s) < 4)
+    m = re.fullmatch(r"([^\W\d_]{2,}(?:-[^\W\d_]{2,})?) (?:[^\W\d_]\. )?([^\W\d_]{2,}(?:-[^\W\d_]{2,})?)", s)
+    return [("west", m[1].lower(), m[2])] if m and m[1][0].isupper() and m[2][0].isupper() else []
+
+
 def learn(senders: list[str]) -> Names:
-    """Names from senders: a first name is one seen with several surnames that few other first words have."""
-    seconds, firsts, han = defaultdict(set), defaultdict(set), []
-    for s in {fold(s)[0] for s in senders if s}:
-        s = re.sub(r"\s*(?:[-|(<☎+].*|tel\b.*|no\..*|\d.*)$", "", s).strip()
-        if re.fullmatch(r"[一-鿿]{3,4}", s):
-            han.append(s)
-        elif m := re.fullmatch(r"([^\W\d_]{2,}) (?:[^\W\d_]\. )?([^\W\d_]{3,}(?:-[^\W\d_]{3,})?)", s):
-            if m[1][0].isupper() and m[2][0].isupper():
-                seconds[m[1].lower()].add(m[2])
-                firsts[m[2]].add(m[1].lower())
+    """Names from senders: a first name is one seen with several surnames that few other first words have. `train` does the same by joins."""
+    seconds, firsts = defaultdict(set), defaultdict(set)
+    sur, given, one = defaultdict(set), defaultdict(set), set()
+    for kind, a, b in {p for s in senders for p in parts(s)}:
+        if kind == "west":
+            seconds[a].add(b)
+            firsts[b].add(a)
+        elif kind == "han":
+            sur[a].add(b)
+            given[b].add(a)
+        else:
+            one.add((a, b))
     # a word that follows many first words of which most are followed by few others is a role, not a surname
     roles = {x for x, fs in firsts.items() if len(fs) >= 4 and 2 * sum(len(seconds[f]) >= 4 for f in fs) < len(fs)}
     out = Names()
-    out.first = {f for f, xs in seconds.items() if len(xs - roles) >= max(3, len(firsts) // 2000)}
+    out.first = {f for f, xs in seconds.items() if len(xs - roles) >= 3}
     ends = defaultdict(set)
     for f in out.first:
         for x in seconds[f] - roles:
             for p in x.split("-"):
-                ends[p[-3:].lower()].add(p)
-    total = sum(map(len, ends.values()))
-    out.endings = {e for e, xs in ends.items() if len(xs) >= max(2, total // 500) or any(len(firsts[x]) >= 3 for x in xs)}
-    sur, given = defaultdict(set), defaultdict(set)
-    for s in han:
-        given[s[-2:]].add(s[:-2])
-        sur[s[:-2]].add(s[-2:])
+                ends[p[-3:].lower()].add((p, len(firsts[x])))
+    out.endings = {e for e, xs in ends.items() if len({p for p, _ in xs}) >= 2 or any(n >= 3 for _, n in xs)}
     out.han_given = {g for g, x in given.items() if len(x) >= 2}
     out.han_sur = {s for s, x in sur.items() if len(x) >= 2}
+    out.han_whole = {a + b for a, b in one if a in out.han_sur}
     return out
 
 
-def train(df: DataFrame, sender: str = "sender", sample: int = 20_000) -> Names:
-    """Learn names from at most `sample` different senders, those first by hash."""
-    rows = df.select(F.col(sender).alias("s")).where(F.length("s") > 2).distinct().select("s", F.xxhash64("s").alias("h"))
-    total = rows.count()
-    if total > 2 * sample:  # keep what each task sends to the driver small
-        rows = rows.where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(1.5 * sample / total * (1 << 20)) + 1))
-    return learn([r["s"] for r in rows.orderBy("h").limit(sample).collect()])
+def train(df: DataFrame, sender: str = "sender") -> Names:
+    """Learn names from all senders, as `learn` does; only the names that are kept come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [p for s in b.column(0).to_pylist() for p in parts(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["kind", "a", "b"])
+
+    senders = df.select(F.col(sender).cast("string").alias("s")).where(F.length("s") > 1).distinct()
+    told = durable(senders.mapInArrow(run, "kind string, a string, b string").distinct(), "sender-names")
+    west, han, one = (told.where(F.col("kind") == k).drop("kind") for k in ("west", "han", "one"))
+    seconds = west.groupBy("a").agg(F.count("*").alias("n"))
+    firsts = west.join(seconds, "a").groupBy("b").agg(F.count("*").alias("n"), F.count(F.when(F.col("n") >= 4, 1)).alias("wide"))
+    surnames = west.join(firsts.where((F.col("n") < 4) | (2 * F.col("wide") >= F.col("n"))).select("b", "n"), "b")
+    first = surnames.groupBy("a").agg(F.count("*").alias("k")).where("k >= 3").select("a")
+    ends = surnames.join(first, "a", "left_semi").select(F.explode(F.split("b", "-")).alias("p"), "n").groupBy(F.lower(F.right("p", F.lit(3))).alias("a")).agg(F.countDistinct("p").alias("k"), F.max("n").alias("n"))
+    sur = han.groupBy("a").agg(F.count("*").alias("k")).where("k >= 2").select("a")
+    kept = {
+        "first": first, "endings": ends.where("k >= 2 OR n >= 3").select("a"), "han_sur": sur,
+        "han_given": han.groupBy("b").agg(F.count("*").alias("k")).where("k >= 2").select(F.col("b").alias("a")),
+        "han_whole": one.join(sur, "a", "left_semi").select(F.concat("a", "b").alias("a")),
+    }
+    out = Names()
+    for r in reduce(DataFrame.unionByName, [d.select(F.lit(k).alias("kind"), "a") for k, d in kept.items()]).collect():
+        getattr(out, r["kind"]).add(r["a"])
+    return out
 
 
 class Finder:
     def __init__(self, names: Names) -> None:
         self.names = names
-        self.west, self.han = names.patterns()
+        self.forms = names.forms()
+        self.han = re.compile(f"[{''.join(sorted({x[0] for x in names.han_sur}))}]") if names.han_sur else None
 
     def spans(self, text: str, own_name: bool = False) -> list[tuple[str, int, int, float]]:
         """(kind, start, end, score) in the text as given; own_name: the text is a name by design, and numbers need no words nearby."""
@@ -270,8 +301,8 @@ class Finder:
                 if digits and _ZH_HINT.search(t):
                     got += [(0.85, m.start(), m.end(), "address") for m in _STREET_ZH.finditer(t)]
                 if self.han and not own_name:
-                    got += [(0.8, m.start(), m.end(), "name") for m in self.han.finditer(t)]
-        if self.west and not own_name:
+                    got += self._han(t)
+        if self.forms and not own_name:
             got += self._names(t)
         return _best(got, places) if got else []
 
@@ -295,12 +326,27 @@ class Finder:
         return best
 
     def _names(self, t: str) -> Iterator[tuple[float, int, int, str]]:
-        for m in self.west.finditer(t):
-            after = _AFTER.match(t, m.end())
+        for m in _FIRST.finditer(t):
+            end = m.end()
+            if m[0] not in self.forms:
+                if not m[1] or m[0][: -len(m[1])] not in self.forms:
+                    continue
+                end -= len(m[1])
+            after = _AFTER.match(t, end)
             if after and self.names.surname(after[1]):
                 yield 0.8, m.start(), after.end(), "name"
             elif (before := _BEFORE.search(t, max(0, m.start() - 40), m.start())) and self.names.surname(before[1]):
-                yield 0.75, before.start(), m.end(), "name"
+                yield 0.75, before.start(), end, "name"
+
+    def _han(self, t: str) -> Iterator[tuple[float, int, int, str]]:
+        n, at = self.names, 0
+        while m := self.han.search(t, at):
+            i = m.start()
+            size = next((k + 2 for k in (2, 1) if t[i : i + k] in n.han_sur and t[i + k : i + k + 2] in n.han_given), 0)
+            size = size or next((k for k in (3, 2) if t[i : i + k] in n.han_whole), 0)
+            if size:
+                yield 0.8, i, i + size, "name"
+            at = i + (size or 1)
 
 
 def _best(got: list[tuple[float, int, int, str]], places: list[int] | None) -> list[tuple[str, int, int, float]]:

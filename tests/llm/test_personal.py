@@ -52,3 +52,17 @@ def test_spans_lie_in_the_original(finder):
 
 def test_without_senders(messages):
     assert P.found(messages.limit(0)).collect() == []
+
+
+def test_names_of_all_senders(spark):
+    word = lambda i: "Q" + "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    senders = SENDERS + [f"{word(i)} {word(i + 300_000)}" for i in range(45_000)]
+    senders += [f"{f} {s}" for f in ("Zelda", "Jean-Luc", "Mei") for s in ("Li", "Marchetti", "Ó-Lindberg", "Roth-Sandberg")] + ["李明", "欧阳望秋", "欧阳小明", "欧阳修", "天空", "Anna Holmberg-Li - night shift"]
+    names = P.train(spark.createDataFrame([(s,) for s in senders], "sender string"))
+    assert names == P.learn(senders)
+    assert {"anna", "zelda", "jean-luc", "mei"} <= names.first and "qaaaa" not in names.first
+    assert names.han_whole == {"李明", "欧阳修"}
+    finder = P.Finder(names)
+    for text, name in [("Ask Zelda Marchetti now", "Zelda Marchetti"), ("Ask Jean-Luc Lindberg now", "Jean-Luc Lindberg"), ("Li, Mei wrote", "Li, Mei"), ("请找李明吧", "李明"), ("请找欧阳修吧", "欧阳修"), ("请找欧阳小明吧", "欧阳小明")]:
+        assert [text[lo:hi] for _, lo, hi, _ in finder.spans(text)] == [name]
+    assert finder.spans("天空很蓝") == []
