@@ -1,10 +1,12 @@
 """Evaluation passages that appear, fully or partly and with few edits, in documents.
 
 Both sides are read as their units joined by single spaces. The items' character q-grams form an index that goes to the
-executors in blocks of bounded size. A document's q-grams are looked up, and hits are counted in overlapping bands of
-diagonals (document position minus item position), stretch by stretch; a stretch ends where two q-grams' length has no
-hit. A region of n characters with at most e(n) edits shares at least n + 1 - q (1 + e(n)) q-grams within one band;
-stretches with fewer are dropped, the others verified by banded alignment. Runs without any edit are regions as they are. Every document is read whole and once for each block of items; nothing is shuffled.
+executors in blocks of bounded size. A document's q-grams are looked up, and neighbouring hits on one diagonal (document
+position minus item position) form runs without any edit: these are regions as they are. A region with edits goes from
+the beginning of a run to the end of one. With n characters and at most e(n) edits it shares at least n + 1 - q (1 + e(n))
+q-grams; all pairs of runs of a document and an item that have as many between them are aligned, and the longest within
+the budget is kept for each beginning, unless it lies inside another region. Every document is read whole and once for
+each block of items; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -36,11 +38,6 @@ class Params:
     def budget(self, n: int) -> int:
         return n // self.per_edit
 
-    @property
-    def band(self) -> int:
-        """Half the width of a band of diagonals."""
-        return 4
-
 
 def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, units joined by spaces, each text begun by a line break; start of each text (end appended)."""
@@ -136,9 +133,81 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return most + 1
 
 
+def _edited(x0: np.ndarray, y0: np.ndarray, size: np.ndarray, hits: np.ndarray, a: np.ndarray, b: np.ndarray, spaces: np.ndarray, p: Params) -> list[tuple[int, int, int, int, int]]:
+    """(first and last place in a, in b, edits) of the longest regions with edits between the runs of one document a and one item b.
+
+    x0, y0, size: runs by place in a; hits: places in a of all shared q-grams, sorted; spaces: number of spaces before each place of a.
+    """
+    x1, y1 = x0 + size, y0 + size
+    upto = np.searchsorted(hits, x1 - p.q, "right")
+    # what lies inside a region that is known needs no search
+    exact = (size >= p.least) & (spaces[x1] - spaces[x0] >= p.units - 1)
+    inside = [(int(x0[k]), int(x1[k]), int(y0[k]), int(y1[k])) for k in np.flatnonzero(exact)]
+    since, before, after = np.searchsorted(hits, x0), spaces[x0], spaces[x1]
+    found = []
+
+    def windows(rows: slice) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each run that may begin a region: the run, whether each run may end it, edits allowed, shift to each."""
+        w, v = x1 - x0[rows, None], y1 - y0[rows, None]
+        most = np.minimum(w, v) // p.per_edit
+        ok = (most >= 1) & (np.minimum(w, v) >= p.least) & (np.abs(w - v) <= most) & (after - before[rows, None] >= p.units - 1)
+        ok &= upto - since[rows, None] >= w + 1 - p.q * (1 + most)
+        for k in np.flatnonzero(ok.any(axis=1)):
+            yield rows.start + k, ok[k], most[k], (w - v)[k]
+
+    block = max(1, 1_000_000 // len(x0))
+    for i, ok, most, shift in (r for lo in range(0, len(x0), block) for r in windows(slice(lo, min(lo + block, len(x0))))):
+        for u0, u1, v0, v1 in inside:
+            if u0 <= x0[i] < u1 and v0 <= y0[i] < v1:
+                ok &= (x1 > u1) | (y1 > v1)
+        ends = np.flatnonzero(ok)
+        if not len(ends):
+            continue
+        edits = prefix_distances(a[x0[i] : x1[ends].max()], b[y0[i] : y1[ends].max()], x1[ends] - x0[i], shift[ends], most[ends])
+        good = np.flatnonzero(edits <= most[ends])
+        if len(good):
+            k = max(good, key=lambda k: (x1[ends[k]], y1[ends[k]]))
+            j = ends[k]
+            inside.append((int(x0[i]), int(x1[j]), int(y0[i]), int(y1[j])))
+            found.append((*inside[-1], int(edits[k])))
+    return [r for r in found if not any(w != r[:4] and w[0] <= r[0] and r[1] <= w[1] and w[2] <= r[2] and r[3] <= w[3] for w in inside)]
+
+
+def prefix_distances(a: np.ndarray, b: np.ndarray, length: np.ndarray, shift: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Edit distances of a[:length] and b[:length - shift], or most + 1 where it is more: one pass for all ends, as `banded_distance`."""
+    out = most + 1
+
+    def run(i: int, j: int) -> int:
+        n, at, step = min(len(a) - i, len(b) - j), 0, 64
+        while at < n:
+            m = min(step, n - at)
+            differ = a[i + at : i + at + m] != b[j + at : j + at + m]
+            k = int(differ.argmax())
+            if differ[k]:
+                return at + k
+            at, step = at + m, step * 4
+        return max(n, 0)
+
+    reach = {0: run(0, 0)}
+    for e in range(int(most.max()) + 1):
+        got = np.fromiter((reach.get(int(d), -1) for d in shift), np.int64, len(shift))
+        out = np.where((out > most) & (got >= length) & (e <= most), e, out)
+        if not ((out > most) & (most > e)).any():
+            break
+        nxt: dict[int, int] = {}
+        for d in range(-e - 1, e + 2):
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -1))
+            i = min(i, len(a), len(b) + d)
+            if i >= 0 and i - d >= 0:
+                nxt[d] = i + run(i, i - d)
+        reach = nxt
+    return out
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", p: Params = Params()) -> DataFrame:
     """doc_id, item_id, doc_start, doc_end, item_start, item_end, edits, twelve: every verified region of p.units units or more.
 
+    A region begins and ends with p.q characters without an edit; regions with edits are reported where they lie in no other.
     Places count characters of the canonical text. twelve: the two whole texts share 12 consecutive units. Null and
     empty texts and texts below p.least have no region; repeated items each report theirs. Without items there are no rows.
     """
@@ -206,28 +275,21 @@ def _matches(ids: np.ndarray, texts: list[str], index: Index, p: Params) -> list
     n, keep = long_enough(order, first, last)
     for f, m in zip(order[first[keep]], n[keep]):
         found.append((doc[f], item[f], x[f], x[f] + m, y[f], y[f] + m, 0))
-    # each diagonal lies in two bands, so that one of them holds all of a region that shifts by up to p.band
-    which = np.concatenate([diagonal // p.band, diagonal // p.band - 1])
-    order = np.lexsort((np.tile(x, 2), which, np.tile(key, 2)))
-    band, order = which[order], order % len(x)
-    first, last = stretches(order, band, 2 * p.q)
-    n, keep = long_enough(order, first, last)
-    count = last - first + 1
-    # the q-gram lemma; a stretch of one exact run is known already
-    keep &= (count >= n + 1 - p.q * (1 + n // p.per_edit)) & (count < n + 1 - p.q)
-    seen: set[tuple] = set()
-    for f, z in zip(first[keep], last[keep]):
-        h = order[f : z + 1]
-        d, i = doc[h[0]], item[h[0]]
-        region = (int(d), int(i), int(x[h].min()), int(x[h].max() + p.q), int(y[h].min()), int(y[h].max() + p.q))
-        if region in seen:
+    # a region with an edit needs two runs and so many q-grams
+    fewest = max(1, p.per_edit + 1 - 2 * p.q)
+    _, lo = np.unique(key[order[first]], return_index=True)
+    hi = np.append(lo[1:], len(first))
+    several = (hi - lo > 1) & (last[hi - 1] - first[lo] + 1 >= fewest)
+    for l, h in zip(lo[several], hi[several]):
+        hits = np.unique(x[order[first[l] : last[h - 1] + 1]])
+        if len(hits) < fewest:
             continue
-        seen.add(region)
-        _, _, ds, de, js, je = region
-        most = p.budget(min(de - ds, je - js))
-        edits = banded_distance(chars[at[d] + ds : at[d] + de], index.chars[index.at[i] + js : index.at[i] + je], most)
-        if edits <= most:
-            found.append((*region, edits))
+        own = order[first[l:h]]
+        by = np.argsort(x[own], kind="stable")
+        own, size = own[by], n[l:h][by]
+        d, i = doc[own[0]], item[own[0]]
+        got = _edited(x[own], y[own], size, hits, chars[at[d] : at[d + 1]], index.chars[index.at[i] : index.at[i + 1]], spaces[at[d] : at[d + 1] + 1], p)
+        found += [(d, i, *r) for r in got]
     twelve: dict[tuple[int, int], bool] = {}
     own: dict[int, np.ndarray] = {}
     out = []

@@ -75,3 +75,46 @@ def test_canonical(texts):
     for t, lo, hi in zip(texts, at, at[1:]):
         got = "".join(map(chr, chars[lo:hi])).replace("\n", "")
         assert got == " ".join(units(t))
+
+
+def damaged(rng, passage, gap):
+    """The passage with its first 120 characters edited once and one letter of each `gap` changed in the rest."""
+    t = list(passage)
+    for k in [60, *range(120, len(t), gap)]:
+        t[k] = "Q"
+    return "".join(t)
+
+
+@pytest.mark.parametrize("gap", [20, 29])
+def test_good_part_of_a_damaged_passage(spark, gap):
+    rng = random.Random(gap)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(27))
+    d = spark.createDataFrame([(1, "before it " + damaged(rng, item, gap) + " and after")], "doc_id long, text string")
+    rows = K.leaks(d, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(r["item_start"] <= 2, r["item_end"] >= 120, r["edits"] >= 1) for r in rows] == [(True, True, True)]
+    assert all(r["edits"] <= (r["item_end"] - r["item_start"]) // 60 for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_regions_against_all_pairs_of_runs(seed):
+    """Every part that begins and ends with 16 equal characters and is within budget lies in a region that is found."""
+    rng = random.Random(seed)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    t = list(item)
+    for k in sorted(rng.sample(range(len(t)), 9), reverse=True):
+        t[k : k + 1] = rng.choice([[], ["q"], [t[k], "q"]])
+    text = "".join(t)
+    p = K.Params()
+    got = K._matches(np.array([1]), [text], K.Index([9], [item], p), p)
+    a, b = ("".join(map(chr, K.canonical([x])[0])) for x in (text, item))
+    begins = {(x, y) for x in range(a.rfind("\n") + 1, len(a) - 15) for y in [b.find(a[x : x + 16])] if y > 0}
+    ends = {(x + 16, y + 16) for x, y in begins}
+    begins = {s for s in begins if (s[0] - 1, s[1] - 1) not in begins}
+    ends = {s for s in ends if (s[0] + 1, s[1] + 1) not in ends}
+    for x, y in begins:
+        for u, v in ends:
+            n = min(u - x, v - y)
+            if n >= 60 and a[x:u].count(" ") >= 11 and edit_distance(a[x:u], b[y:v]) <= n // 60:
+                assert any(r[2] <= x and u <= r[3] and r[4] <= y and v <= r[5] for r in got), (x, u, y, v)
+    for r in got:
+        assert edit_distance(a[r[2] : r[3]], b[r[4] : r[5]]) == r[6] <= max(0, min(r[3] - r[2], r[5] - r[4]) // 60)
