@@ -3,8 +3,8 @@
 Documents are linked through the passages they share and passages through their terms: a graph of documents, passages
 (a sentence as its set of telling terms) and terms, in which two documents are the more similar the more they share.
 It stands for the document-similarity graph without its pairs, whose number would grow with the square of the input.
-Links are verified before labels travel: a term must be in a least share of all documents and, where seeds show it
-often enough, lean to some subjects; words spread evenly over subjects link nothing.
+Links are verified before labels travel: a term must be in two documents and, where seeds show it often enough, lean
+to some subjects; words spread evenly over subjects link nothing.
 
 Labels spread in rounds of joins, terms to passages and passages to terms. Seeds are clamped: the passages of a labelled
 document only ever take its own subjects or none. At the end each passage has at most one subject and a document every
@@ -40,7 +40,7 @@ class Params:
 
     rounds: int = 3
     share: float = 0.25
-    least_share: float = 1e-3
+    least_share: float = 0.0
     least: int = 2
     seen: int = 5
     lift: float = 2.0
@@ -193,7 +193,7 @@ def subjects(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: s
     table, n = term_table(src, p)
     keep = table >= max(p.least, p.least_share * n)
 
-    # terms of labelled documents; at most (terms a document) / least_share different ones are common enough
+    # terms of labelled documents
     marked = _passages(src.join(seeds, F.col("doc_id") == F.col("seed"), "left_semi"), keep, np.empty(0, np.uint64), p).join(seeds, F.col("doc_id") == F.col("seed"))
     total = sum([F.col(f"m{k}") for k in range(1, len(_W))], F.col("m0"))
     counts = durable(marked.select(F.explode("terms").alias("term"), *[(F.col("n") * F.col(f"m{k}") / total).alias(f"w{k}") for k in range(len(_W))]).groupBy("term").agg(*_sums([F.col(w) for w in _W])), "subject-seeds")
@@ -211,7 +211,7 @@ def subjects(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: s
 
     size = sum([F.col(w) for w in _W[1:]], F.col("w0"))
     lean = F.greatest(F.lit(0.0), *[F.col(w) / size / F.lit(q) for w, q in zip(_W, share) if q])
-    even = [r[0] for r in counts.where((size >= p.seen) & (lean < p.lift)).select("term").collect()]  # bounded like counts
+    even = [r[0] for r in counts.where((size >= p.seen) & (lean < p.lift)).select("term").collect()]  # at most as many as labelled documents show p.seen times
     edges = durable(_passages(src, keep, np.array(even, dtype=np.int64).view(np.uint64), p), "subject-passages")
     nodes = durable(edges.groupBy("pid").agg(F.sum("n").alias("n"), F.first("terms").alias("terms")), "subject-nodes")
     parts = nodes.select("pid", F.explode("terms").alias("term"))
@@ -220,7 +220,7 @@ def subjects(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: s
     weights = counts
     for step in range(p.rounds + 1):
         logs = weights.select("term", *[s.alias(w) for s, w in zip(scores([F.col(w) for w in _W]), _W)])
-        # the bound above makes the terms few whatever the input; were they more, the join shuffles
+        # rare terms grow with the input; when they are many, the join shuffles
         few = weights.count() <= p.sent
         scored = parts.join(F.broadcast(logs) if few else logs, "term").groupBy("pid").agg(*_sums([F.col(w) for w in _W]))
         labelled = durable(scored.select("pid", *[x.cast("float").alias(w) for x, w in zip(_posterior([F.col(w) for w in _W], p.none), _W)]), "subject-labels")

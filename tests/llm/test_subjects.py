@@ -34,6 +34,16 @@ def test_propagation(spark):
     assert all(i not in got for i, m in enumerate(mixes) if m == [None])
 
 
+def test_rare_terms_link_documents(spark):
+    rng = random.Random(4)
+    docs = [(i, document(rng, [("sport", "law")[i % 2]], 2)) for i in range(3000)]
+    rare = "zither luthier. luthier, zither."
+    docs += [(5000, rare), (5001, rare)]
+    labels = [(i, ("sport", "law")[i % 2]) for i in range(20)] + [(5000, "science")]
+    rows = S.found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string")).where("doc_id >= 5000").collect()
+    assert {tuple(r) for r in rows} == {(5000, "science"), (5001, "science")}
+
+
 def test_no_seeds(spark):
     d = spark.createDataFrame([(1, "some text here.")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, subject string")
