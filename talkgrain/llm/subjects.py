@@ -232,11 +232,16 @@ def subjects(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: s
         from_seeds = clamped.join(labelled, "pid").select(F.explode("terms").alias("term"), *[(F.col("n") * x / held).alias(w) for x, w in zip(own, _W)])
         from_rest = nodes.join(labelled, "pid").select(F.explode("terms").alias("term"), *[(F.col("n") * F.col(w) * p.free).alias(w) for w in _W])
         weights = durable(from_seeds.unionByName(from_rest).groupBy("term").agg(*_sums([F.col(w) for w in _W])), "subject-terms")
-    best = F.greatest(*[F.col(w) for w in _W])
-    rest = F.lit(1.0) - sum([F.col(w) for w in _W[1:]], F.col("w0"))
-    which = F.coalesce(*[F.when(F.col(w) == best, F.lit(s)) for w, s in zip(_W, SUBJECTS)])
-    taken = labelled.where(best > rest).select("pid", which.alias("subject"))
-    each = edges.select("doc_id", "sentences", "pid", "n").join(taken, "pid", "left")
+    def best(ws: list[Column]) -> Column:
+        """The subject of a passage, or null where none is likelier."""
+        top = F.greatest(*ws)
+        return F.when(top > F.lit(1.0) - sum([F.col(w) for w in _W[1:]], F.col("w0")), F.coalesce(*[F.when(w == top, F.lit(s)) for w, s in zip(ws, SUBJECTS)]))
+
+    cols = ["doc_id", "sentences", "pid", "n", "subject"]
+    taken = labelled.select("pid", best([F.col(w) for w in _W]).alias("subject")).where("subject IS NOT NULL")
+    free = edges.join(seeds, F.col("doc_id") == F.col("seed"), "left_anti").join(taken, "pid", "left").select(*cols)
+    bound = edges.join(seeds, F.col("doc_id") == F.col("seed")).join(labelled, "pid", "left").withColumn("subject", best([F.col(w) * F.col(f"m{k}") for k, w in enumerate(_W)])).select(*cols)
+    each = free.unionByName(bound)
     per = each.groupBy("doc_id").agg(F.sum("sentences").alias("sentences"), *[F.sum(F.when(F.col("subject") == s, F.col("n"))).alias(s) for s in SUBJECTS])
     rows = per.select("doc_id", F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), (F.col(s) / F.col("sentences")).alias("share")) for s in SUBJECTS])).alias("x")).select("doc_id", "x.*")
     return rows.where(F.col("share") >= p.share - 1e-9)

@@ -44,6 +44,14 @@ def test_rare_terms_link_documents(spark):
     assert {tuple(r) for r in rows} == {(5000, "science"), (5001, "science")}
 
 
+def test_labelled_documents_take_their_own_subjects_only(spark):
+    rng = random.Random(5)
+    docs = [(i, document(rng, [list(TERMS)[i % 3]])) for i in range(60)]
+    labels = [(i, list(TERMS)[i % 3]) for i in range(30)] + [(40, "law")]
+    rows = S.found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string"))
+    assert (40, "food") not in (got := {tuple(r) for r in rows.collect()}) and {(0, "sport"), (1, "food"), (42, "sport"), (43, "food")} <= got
+
+
 def test_no_seeds(spark):
     d = spark.createDataFrame([(1, "some text here.")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, subject string")
