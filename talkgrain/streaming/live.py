@@ -1,4 +1,4 @@
-"""Change streams into the store, and latest state per chat."""
+"""Change streams into the store, and arrivals per chat as a stream or whole."""
 
 from __future__ import annotations
 
@@ -35,6 +35,18 @@ def follow(stream: DataFrame, store: MessageStore, checkpoint: str, watched: Cal
 
 
 def arrivals(stream: DataFrame, time: str = "post_time", late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """New messages a chat and window of time; later ones than the watermark are dropped."""
-    timed = stream.where("op = 'new'").withColumn("at", F.col(time).cast("timestamp")).withWatermark("at", late)
+    """New messages a chat and window of time; later ones than the watermark are dropped, so that `all_arrivals` alone is whole."""
+    return _arrivals(_new(stream, time).withWatermark("at", late), width)
+
+
+def all_arrivals(changes: DataFrame, time: str = "post_time", width: str = "1 day") -> DataFrame:
+    """The same counts over all changes of a batch, however late they came."""
+    return _arrivals(_new(changes, time), width)
+
+
+def _new(changes: DataFrame, time: str) -> DataFrame:
+    return changes.where("op = 'new'").withColumn("at", F.col(time).cast("timestamp"))
+
+
+def _arrivals(timed: DataFrame, width: str) -> DataFrame:
     return timed.groupBy(F.window("at", width), "chat_id").agg(F.count("*").alias("n"))

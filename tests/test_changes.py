@@ -184,3 +184,11 @@ def test_status_limit(spark):
     with pytest.raises(chat_list.EntityNotFound):
         chat_list.resolve(titles, "none")
     assert chat_list.random_message(m.where(F.lit(False))).collect() == []
+
+
+def test_all_arrivals_count_late_messages(spark):
+    from talkgrain.streaming.live import all_arrivals
+
+    rows = [("new", 1, "2024-03-09 10:00:00"), ("new", 1, "2024-01-01 10:00:00"), ("new", 1, "2024-03-09 11:00:00"), ("edit", 1, "2024-03-09 12:00:00")]
+    got = all_arrivals(spark.createDataFrame(rows, "op string, chat_id long, post_time string")).collect()
+    assert sorted((str(r["window"]["start"])[:10], r["chat_id"], r["n"]) for r in got) == [("2024-01-01", 1, 1), ("2024-03-09", 1, 2)]
