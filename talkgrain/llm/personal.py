@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkgrain.llm.lookalikes import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, LATIN, LATIN_AS
@@ -410,6 +410,14 @@ def masked_messages(messages: DataFrame) -> DataFrame:
 
 def found(messages: DataFrame) -> DataFrame:
     """(row_id, field, kind): kinds present in content and sender."""
-    wide = masked_messages(messages)
-    each = F.flatten(F.array(*[F.transform(F.array_distinct(F.transform(F.coalesce(f"{c}_spans", F.array()), lambda s: s["kind"])), lambda k, c=c: F.struct(F.lit(c).alias("field"), k.alias("kind"))) for c in ("content", "sender")]))
-    return wide.select("row_id", F.explode(each).alias("x")).select("row_id", "x.field", "x.kind")
+    return kinds_found(masked_messages(messages), "row_id", ["content", "sender"])
+
+
+def kinds_found(masked: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(id, field, kind): each kind once of each field of `mask`'s rows; null and empty fields have none."""
+
+    def each(name: str) -> Column:
+        kinds = F.array_distinct(F.transform(F.coalesce(f"{name}_spans", F.array()), lambda s: s["kind"]))
+        return F.transform(kinds, lambda k: F.struct(F.lit(name).alias("field"), k.alias("kind")))
+
+    return masked.select(id_col, F.explode(F.flatten(F.array(*[each(c) for c in fields]))).alias("x")).select(id_col, "x.field", "x.kind")

@@ -66,3 +66,19 @@ def test_names_of_all_senders(spark):
     for text, name in [("Ask Zelda Marchetti now", "Zelda Marchetti"), ("Ask Jean-Luc Lindberg now", "Jean-Luc Lindberg"), ("Li, Mei wrote", "Li, Mei"), ("请找李明吧", "李明"), ("请找欧阳修吧", "欧阳修"), ("请找欧阳小明吧", "欧阳小明")]:
         assert [text[lo:hi] for _, lo, hi, _ in finder.spans(text)] == [name]
     assert finder.spans("天空很蓝") == []
+
+
+def test_found(spark, finder):
+    rows = [(1, "Ask Anna Lindberg or a@b.example or c@d.example", "Anna Lindberg 07700 900829"), (2, None, ""), (3, "", None), (4, "nothing here", "bot"), (5, "mail x@y.example", None)]
+    masked = P.mask(spark.createDataFrame(rows, "row_id long, content string, sender string"), "row_id", ["content", "sender"], finder.names)
+    got = P.kinds_found(masked, "row_id", ["content", "sender"])
+    assert got.schema.simpleString() == "struct<row_id:bigint,field:string,kind:string>"
+    assert sorted(map(tuple, got.collect())) == [(1, "content", "email"), (1, "content", "name"), (1, "sender", "phone"), (5, "content", "email")]
+
+
+def test_found_in_messages(messages):
+    got = P.found(messages)
+    assert got.schema.simpleString() == "struct<row_id:bigint,field:string,kind:string>"
+    seen = {(r["field"], r["kind"]) for r in got.collect()}
+    assert {f for f, _ in seen} == {"content", "sender"} and {k for _, k in seen} <= set(P.KINDS)
+    assert {("content", k) for k in P.KINDS} <= seen and ("sender", "phone") in seen and ("sender", "name") not in seen
