@@ -1,19 +1,22 @@
-"""Subject areas of documents by label propagation from hand-labelled seeds.
-
-Documents are linked through the passages they share and passages through their terms: a graph of documents, passages
-(a sentence as its set of telling terms) and terms, in which two documents are the more similar the more they share.
-It stands for the document-similarity graph without its pairs, whose number would grow with the square of the input.
-Links are verified before labels travel: a term must be in two documents and, where seeds show it often enough, lean
-to some subjects; words spread evenly over subjects link nothing.
-
-Labels spread in rounds of joins, terms to passages and passages to terms. Seeds are clamped: the passages of a labelled
-document only ever take its own subjects or none. At the end each passage has at most one subject and a document every
-subject that at least `share` of its sentences take, so that several are kept; small talk has none.
+"""Subject areas of documents by label propagation over a graph of verified document links.
+
+Texts are split and hashed once; everything else reads those tokens.
+
+1. Candidates. A document is the vector of its terms, weighted by how rare they are in all documents. In each of `orders`
+   orders documents stand sorted by the signs of random projections of that vector, and those of one block are compared.
+2. Verified links. A pair of a block is a link if its exact cosine over all terms reaches `similar` and it is among the
+   `near` best of one of the two. That is the rule of degree: a link more or less between documents of one kind
+   carries no new label, and hubs get no links of their own. Of equal vectors in a block the first is compared, the others
+   link to it. Links are rows (doc_id, others, weights).
+3. Propagation. Labelled documents begin; in each of `rounds` rounds of joins every document takes the mean of its links'
+   weights of all eight subjects, so that several are kept. Seeds are clamped: they take nothing.
+4. Check. A subject must have reached the document over links (`reach` of its weight), and at least `share` of its
+   sentences must belong to it. Sentences are told by terms that, counted over all propagated documents, lean to a subject
+   by `lift` and by `sure` standard deviations; a sentence below `none` (log odds) is small talk.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,229 +25,312 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkgrain.llm.units import _M, mix, unit_table
+from talkgrain.llm.passages import passages, slices
+from talkgrain.llm.units import mix
 from talkgrain.session import durable
 
 # The subjects.
 SUBJECTS = ("software", "sport", "law", "science", "food", "travel", "finance", "health")
+K = len(SUBJECTS)
 
 
 @dataclass(frozen=True)
 class Params:
-    """rounds: of propagation; share: of the sentences a subject needs; least_share, least: of documents (and number) a term needs.
+    """common: terms of this share of documents have weights of their own, rarer ones that of the rarest of these.
 
-    seen, lift: a term found `seen` times in seeds must be `lift` times as common in some subject as in all.
-    none: log weight of no subject; free: weight of unlabelled passages beside seeds; cells: size of the frequency table;
-    sent: most terms whose weights (72 bytes each) go to the executors whole.
+    bits: signs of each order; sent: most telling terms (36 bytes each) that go to the executors whole, more are joined.
+    The others as above.
     """
 
-    rounds: int = 3
+    orders: int = 2
+    block: int = 256
+    near: int = 4
+    similar: float = 0.2
+    rounds: int = 4
+    reach: float = 0.02
     share: float = 0.25
-    least_share: float = 0.0
-    least: int = 2
-    seen: int = 5
     lift: float = 2.0
-    none: float = 1.4
-    free: float = 0.3
-    cells: int = 1 << 22
-    sent: int = 200_000
-
-
-_BREAK = re.compile(r"""(?<!\b[A-ZÀ-ÞА-ЯЁ])[.!?…]+["”»')\]]*\s+|[。！？]+|\s[/—–|•]\s|\n""")
-_HEAD = re.compile(r"\s*(?:[-*•]\s+|\d+[.)]\s+|\[\d\d?:\d\d\]\s*(?:[^:\n]{1,40}:)?)\s*")
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def sentences(text: str | None) -> list[str]:
-    """Sentences of a text, without list marks and speakers; pieces without letters don't count."""
-    if not text:
-        return []
-    out = []
-    for line in _BREAK.split(text):
-        head = _HEAD.match(line)
-        if head:
-            line = line[head.end() :]
-        if _LETTER.search(line):
-            out.append(line)
-    return out
+    sure: float = 5.0
+    none: float = 1.0
+    common: float = 1e-3
+    bits: int = 24
+    sent: int = 1 << 20
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """doc_id, sentences, terms (of all sentences in order), lengths (terms of each sentence that has any)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            all_texts = b.column(1).to_pylist()
+            for part in slices(all_texts):
+                texts = all_texts[part]
+                terms, n, whose, sentences = passages(texts)
+                per = np.bincount(whose, weights=n, minlength=len(texts)).astype(np.int64)
+                pieces = np.bincount(whose, minlength=len(texts))
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(v, pa.int32())) for k, v in ((per, terms.view(np.int32)), (pieces, n.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, len(texts)), pa.array(sentences, pa.int32()), *lists], names=["doc_id", "sentences", "terms", "lengths"])
+
+    return docs.mapInArrow(run, "doc_id long, sentences int, terms array<int>, lengths array<int>")
 
 
-def sentence_terms(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of all sentences (words without digits, pairs of neighbouring CJK characters) and the sentence of each."""
-    h, at, cjk, numeric = unit_table(parts)
-    row = np.repeat(np.arange(len(parts)), np.diff(at))
-    words = np.flatnonzero(~cjk & ~numeric)
-    pairs = np.flatnonzero(cjk[:-1] & cjk[1:] & (row[:-1] == row[1:])) if len(h) else words
-    terms = np.concatenate([h[words], mix(h[pairs] * _M[0] + h[np.minimum(pairs + 1, len(h) - 1)])]) if len(h) else h
-    return terms, np.concatenate([row[words], row[pairs]])
+def _terms(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of all rows of a batch and the row of each."""
+    lists = b.column(b.schema.get_field_index("terms"))
+    n = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy().view(np.uint32), np.repeat(np.arange(len(n)), n)
 
 
-def _cell(terms: np.ndarray, cells: int) -> np.ndarray:
-    return (terms % np.uint64(cells)).astype(np.int64)
+def _distinct(terms: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and number of each different pair of them, sorted."""
+    both, n = np.unique(rows.astype(np.uint64) << np.uint64(32) | terms, return_counts=True)
+    return (both >> np.uint64(32)).astype(np.int64), both.astype(np.uint32), n
 
 
-def term_table(docs: DataFrame, p: Params) -> tuple[np.ndarray, int]:
-    """Number of documents (up to 65535) with a term of each cell, over all documents, and the number of documents. Its size is p.cells."""
-    chunks = 64
-    size = p.cells // chunks
+def document_counts(tokens: DataFrame) -> DataFrame:
+    """(term, n): the documents that hold each term, summed in the tasks first."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = np.zeros(p.cells, dtype=np.uint32), 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            split = [sentences(t) for t in b.column(1).to_pylist()]
-            terms, row = sentence_terms([s for x in split for s in x])
-            doc = np.repeat(np.arange(len(split)), [len(x) for x in split])[row]
-            once = np.unique(doc.astype(np.uint64) << np.uint64(32) | _cell(terms, p.cells).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-            at, k = np.unique(once, return_counts=True)
-            table[at.astype(np.int64)] += k.astype(np.uint32)
-            n += len(split)
-        if n:
-            for c in range(chunks):
-                part = pa.compress(table[c * size : (c + 1) * size].tobytes(), codec="zstd", asbytes=True)
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([n if c == 0 else 0]), pa.array([part], pa.binary())], names=["chunk", "n", "data"])
-
-    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(size, dtype=np.uint64), 0
+            _, terms, _ = _distinct(*_terms(b))
+            t, n = np.unique(terms, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int32)), pa.array(n)], names=["term", "n"])
+
+    return tokens.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _place(sorted_terms: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Place of each term in a sorted list, or -1."""
+    if not len(sorted_terms):
+        return np.full(len(terms), -1)
+    at = np.minimum(np.searchsorted(sorted_terms, terms), len(sorted_terms) - 1)
+    return np.where(sorted_terms[at] == terms, at, -1)
+
+
+def links(tokens: DataFrame, p: Params) -> DataFrame:
+    """doc_id, others, weights: verified links of each document, both ways, a row for each order it has any in."""
+    n = tokens.count()
+    # at most the mean number of terms of a document divided by p.common, whatever the number of documents
+    known = document_counts(tokens).where(F.col("n") >= max(2.0, p.common * n)).toArrow()
+    order = np.argsort(terms := known.column("term").to_numpy().view(np.uint32))
+    idf = np.log(max(n, 2) / known.column("n").to_numpy()[order]).astype(np.float32)
+    sent = tokens.sparkSession.sparkContext.broadcast((terms[order], idf, np.float32(np.log(max(n, 2) / max(2.0, p.common * n)))))
+    number = pa.uint16() if len(terms) < 1 << 16 else pa.uint32()
+
+    def weights(known: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        return (1 + np.log(count)) * idf[known]
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf, rare = sent.value
+        sign = np.unpackbits(np.stack([mix(names.astype(np.uint64) * np.uint64(2 * k + 1) + np.uint64(k)) for k in range(p.orders)], axis=1).view(np.uint8), axis=1).reshape(len(names), p.orders, 64)[:, :, : p.bits]
+        sign = (sign.astype(np.float32) * 2 - 1).reshape(len(names), -1)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                row, term, count = _distinct(*_terms(b))
+                place = _place(names, term)
+                own = np.flatnonzero(place >= 0)
+                other = np.flatnonzero(place < 0)
+                w = weights(place[own], count[own], idf)
+                length = np.bincount(row[own], weights=w * w, minlength=b.num_rows) + np.bincount(row[other], weights=((1 + np.log(count[other])) * rare) ** 2, minlength=b.num_rows)
+                starts = np.searchsorted(row[own], np.arange(b.num_rows + 1))
+                full = np.flatnonzero(np.diff(starts))
+                code = np.zeros((b.num_rows, p.orders * p.bits), np.float32)
+                if len(full):
+                    code[full] = np.add.reduceat(sign[place[own]] * w.astype(np.float32)[:, None], starts[:-1][full], axis=0)
+                code = ((code > 0).reshape(b.num_rows, p.orders, p.bits) * (1 << np.arange(p.bits - 1, -1, -1))).sum(axis=2)
+                ends = [np.concatenate([[0], np.cumsum(np.bincount(row[x], minlength=b.num_rows))]) for x in (own, other)]
+                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in ((ends[0], pa.array(place[own], number).cast(pa.int32())), (ends[0], pa.array(np.minimum(count[own], 127), pa.int8())), (ends[1], pa.array(term[other].view(np.int32))), (ends[1], pa.array(np.minimum(count[other], 127), pa.int8())))]
+                for o in range(p.orders):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, o), pa.int32()), pa.array(code[:, o], pa.int32()), b.column(0), pa.array(np.sqrt(length).astype(np.float32)), *lists], names=["o", "code", "doc_id", "length", "known", "times", "rare", "rare_times"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, idf, rare = sent.value
+        rest: pa.RecordBatch | None = None
         for b in batches:
-            n += sum(b.column(1).to_pylist())
-            for data in b.column(2).to_pylist():
-                total += np.frombuffer(pa.decompress(data, decompressed_size=4 * size, codec="zstd", asbytes=True), dtype=np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n]), pa.array([total.astype(np.uint32).tobytes()], pa.binary())], names=["chunk", "n", "data"])
+            b = b if rest is None else pa.concat_batches([rest, b])
+            full = b.num_rows - b.num_rows % p.block
+            yield from (_compare(b.slice(lo, p.block), idf, rare, p) for lo in range(0, full, p.block))
+            rest = b.slice(full)
+        if rest is not None and rest.num_rows:
+            yield _compare(rest, idf, rare, p)
+
+    spread = tokens.where(F.size("terms") > 0).select("doc_id", "terms").mapInArrow(vectors, "o int, code int, doc_id long, length float, known array<int>, times array<tinyint>, rare array<int>, rare_times array<tinyint>")
+    # partitions of one sign prefix or more; adaptive execution splits those that copies make large
+    near = spread.withColumn("top", F.shiftright("code", max(p.bits - 8, 0))).hint("rebalance", "o", "top").sortWithinPartitions("o", "code", F.xxhash64("doc_id")).drop("top")
+    return near.mapInArrow(compare, "doc_id long, others array<long>, weights array<float>")
+
+
+def _compare(b: pa.RecordBatch, idf: np.ndarray, rare: np.float32, p: Params) -> pa.RecordBatch:
+    """Links within a block: pairs of cosine p.similar or more among the p.near best of either."""
+    col = {n: b.column(k) for k, n in enumerate(b.schema.names)}
+    parts = []
+    for name, times in (("known", "times"), ("rare", "rare_times")):
+        v = col[name].flatten().to_numpy().view(np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(b.num_rows), col[name].value_lengths().to_numpy(zero_copy_only=False))
+        w = (1 + np.log(col[times].flatten().to_numpy().astype(np.float32))) * (idf[v.astype(np.int64)] if name == "known" else rare)
+        parts.append((v + (np.uint64(1 << 32) if name == "rare" else np.uint64(0)), row, w))
+    v, row, w = (np.concatenate(x) for x in zip(*parts))
+    # equal vectors are compared once; the others of their kind link to the first
+    digest = np.bincount(row, weights=(mix(v + np.uint64(1)) >> np.uint64(12)).astype(np.float64) * w, minlength=b.num_rows)
+    _, first, kind = np.unique(digest, return_index=True, return_inverse=True)
+    ids = col["doc_id"].to_numpy()
+    single = np.zeros(b.num_rows, bool)
+    single[first] = True
+    used = single[row]
+    v, row, w = v[used], kind[row[used]], w[used]
+    _, place, held = np.unique(v, return_inverse=True, return_counts=True)
+    shared = held[place] > 1  # a term of one document adds nothing
+    _, place = np.unique(place[shared], return_inverse=True)
+    matrix = np.zeros((len(first), int(place.max()) + 1 if len(place) else 1), np.float32)
+    matrix[row[shared], place] = w[shared] / np.maximum(col["length"].to_numpy()[first][row[shared]], 1e-9)
+    cosine = matrix @ matrix.T
+    np.fill_diagonal(cosine, 0)
+    keep = np.zeros(cosine.shape, bool)
+    best = np.argpartition(-cosine, min(p.near, len(first)) - 1, axis=1)[:, : p.near]
+    np.put_along_axis(keep, best, True, axis=1)
+    keep &= cosine >= p.similar
+    keep |= keep.T
+    a, c = np.nonzero(keep)
+    copy = np.flatnonzero(~single)
+    left = np.concatenate([first[a], copy, first[kind[copy]]])
+    right = np.concatenate([first[c], first[kind[copy]], copy])
+    weight = np.concatenate([cosine[a, c], np.ones(2 * len(copy), np.float32)])
+    differ = ids[left] != ids[right]
+    left, right, weight = left[differ], right[differ], weight[differ]
+    order = np.argsort(left, kind="stable")
+    n = np.bincount(left, minlength=b.num_rows)
+    has = np.flatnonzero(n)
+    ends = pa.array(np.concatenate([[0], np.cumsum(n[has])]), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.ListArray.from_arrays(ends, pa.array(ids[right[order]])), pa.ListArray.from_arrays(ends, pa.array(weight[order].astype(np.float32)))], names=["doc_id", "others", "weights"])
+
+
+def _packed(ws: list[Column]) -> Column:
+    """Eight weights between 0 and 1 as one long, a byte each."""
+    out = F.lit(0).cast("bigint")
+    for k, w in enumerate(ws):
+        out = out.bitwiseOR(F.shiftleft(F.round(w * 255).cast("bigint"), 8 * k))
+    return out
 
-    schema = "chunk int, n long, data binary"
-    table, n = np.zeros(p.cells, dtype=np.uint32), 0
-    for r in docs.mapInArrow(count, schema).groupBy("chunk").applyInArrow(merge, schema).collect():  # p.cells counts, whatever the input
-        table[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["data"], dtype=np.uint32)
-        n += r["n"]
-    return table, n
 
+def _weight(packed: Column, k: int) -> Column:
+    return F.shiftrightunsigned(packed, 8 * k).bitwiseAND(F.lit(255).cast("bigint")) / F.lit(255.0)
 
-def _passages(docs: DataFrame, keep: np.ndarray, flat: np.ndarray, p: Params) -> DataFrame:
-    """doc_id, sentences (of the document, in its first row), pid, n, terms: a row for each different passage of a document.
 
-    keep: cells of terms common enough; flat: terms that link nothing.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast((np.packbits(keep), np.sort(flat)))
+def propagated(found: DataFrame, seeds: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, y): the packed subject weights of every document that labels reach; seeds keep their own."""
+    labels = seeds.withColumnRenamed("own", "y")
+    for _ in range(p.rounds):
+        flow = found.join(labels, "doc_id").select("y", F.explode(F.arrays_zip("others", "weights")).alias("x")).select(F.col("x.others").alias("doc_id"), (F.col("x.weights") * F.col("x.weights")).alias("w"), "y")
+        sums = flow.repartition("doc_id").groupBy("doc_id").agg(*[F.sum(F.col("w") * _weight(F.col("y"), k)).alias(f"w{k}") for k in range(K)])
+        sums = sums.withColumn("whole", sum([F.col(f"w{k}") for k in range(1, K)], F.col("w0")))
+        mean = F.when(F.col("whole") > 0, _packed([F.col(f"w{k}") / F.col("whole") for k in range(K)]))
+        labels = durable(sums.join(seeds, "doc_id", "full_outer").select("doc_id", F.coalesce("own", mean).alias("y")).where("y IS NOT NULL"), "subject-labels")
+    return labels
+
+
+def telling_terms(tokens: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
+    """(term, l0 .. l7): terms that lean to a subject in the propagated documents, with their log odds of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, term, _ = _distinct(*_terms(b))
+            y = b.column(b.schema.get_field_index("y")).to_numpy().view(np.uint8).reshape(-1, 8)
+            t, place = np.unique(term, return_inverse=True)
+            sums = [np.bincount(place, weights=y[row, k], minlength=len(t)).astype(np.int64) for k in range(K)]
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int32)), *map(pa.array, sums)], names=["term", *(f"w{k}" for k in range(K))])
+
+    weights = [f"w{k}" for k in range(K)]
+    schema = "term int, " + ", ".join(f"{w} long" for w in weights)
+    counts = durable(tokens.select("doc_id", "terms").join(labels, "doc_id").select("terms", "y").mapInArrow(run, schema).groupBy("term").agg(*[(F.sum(w) / F.lit(255.0)).alias(w) for w in weights]), "subject-terms")
+    sums = counts.agg(*[F.sum(w) for w in weights]).first()
+    whole = sum(x or 0.0 for x in sums)
+    prior = [(x or 0.0) / whole if whole else 0.0 for x in sums]
+    n = sum([F.col(w) for w in weights[1:]], F.col("w0"))
+    live = [(F.col(w), q) for w, q in zip(weights, prior) if 0 < q < 1]
+    if not live:
+        return counts.limit(0).select("term", *[F.lit(0.0).alias(f"l{k}") for k in range(K)])
+    leans = [((w / n >= p.lift * q) & ((w / n - q) >= p.sure * F.sqrt(F.lit(q * (1 - q)) / n))) for w, q in live]
+    told = sum([x.cast("int") for x in leans[1:]], leans[0].cast("int")) > 0
+    # a subject without seeds can't be told and never spreads
+    logs = [F.log((F.col(w) + 2.0 * q) / (n + 2.0) / q) if q else F.lit(-50.0) for w, q in zip(weights, prior)]
+    return counts.where((n > 0) & told).select("term", *[x.alias(f"l{k}") for k, x in enumerate(logs)])
+
+
+def sentence_subjects(tokens: DataFrame, telling: DataFrame, p: Params) -> DataFrame:
+    """doc_id, sentences, n0 .. n7: sentences of each document, and how many belong to each subject."""
+    size = telling.count()
+    counted = _counted_by_lookup(tokens, telling, p) if size <= p.sent else _counted_by_join(tokens, telling, p)
+    return counted.groupBy("doc_id").agg(F.sum("sentences").alias("sentences"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(K)])
+
+
+def _counted_by_lookup(tokens: DataFrame, telling: DataFrame, p: Params) -> DataFrame:
+    got = telling.toArrow()  # at most p.sent rows
+    order = np.argsort(terms := got.column("term").to_numpy().view(np.uint32))
+    logs = np.stack([got.column(f"l{k}").to_numpy() for k in range(K)], axis=1)[order].astype(np.float32) if len(terms) else np.zeros((0, K), np.float32)
+    sent = tokens.sparkSession.sparkContext.broadcast((terms[order], logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, flat = sent.value
-        keep = np.unpackbits(bits).astype(bool)
+        names, logs = sent.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                b = whole.slice(lo, 2000)
-                split = [sentences(t) for t in b.column(1).to_pylist()]
-                parts = [s for x in split for s in x]
-                terms, row = sentence_terms(parts)
-                ok = keep[_cell(terms, p.cells)]
-                if len(flat):
-                    ok &= flat[np.minimum(np.searchsorted(flat, terms), len(flat) - 1)] != terms
-                terms, row = terms[ok], row[ok]
-                order = np.lexsort((terms, row))
-                terms, row = terms[order], row[order]
-                if len(terms):
-                    new = np.ones(len(terms), bool)
-                    new[1:] = (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])
-                    terms, row = terms[new], row[new]
-                start = np.searchsorted(row, np.arange(len(parts) + 1))
-                full = np.flatnonzero(np.diff(start))
-                pid = np.add.reduceat(mix(terms * _M[1]), start[:-1][full]) if len(full) else np.empty(0, np.uint64)
-                doc = np.repeat(np.arange(len(split)), [len(x) for x in split])[full] if len(parts) else full
-                ids = b.column(0).to_numpy()
-                # equal passages of one document become one row, the first of each document is marked
-                order = np.lexsort((pid, doc))
-                d, q = doc[order], pid[order]
-                first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (q[1:] != q[:-1])])) if len(d) else order
-                times = np.diff(np.append(first, len(d))).astype(np.int32)
-                d, at = d[first], full[order[first]]
-                head = np.concatenate([[True], d[1:] != d[:-1]]) if len(d) else np.empty(0, bool)
-                lengths = (start[1:] - start[:-1])[at]
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                values = terms[np.repeat(start[:-1][at] - offsets[:-1], lengths) + np.arange(offsets[-1])] if len(at) else terms[:0]
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
-                n = np.array([len(x) for x in split], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(np.where(head, n[d], 0).astype(np.int32)), pa.array(q[first].view(np.int64)), pa.array(times), lists], names=["doc_id", "sentences", "pid", "n", "terms"])
-
-    return docs.mapInArrow(run, "doc_id long, sentences int, pid long, n int, terms array<long>")
-
-
-def _sums(cols: list[Column]) -> list[Column]:
-    return [F.sum(c).alias(f"w{k}") for k, c in enumerate(cols)]
-
-
-_W = [f"w{k}" for k in range(len(SUBJECTS))]
-
-
-def _posterior(scores: list[Column], none: float) -> list[Column]:
-    top = F.greatest(*scores, F.lit(none))
-    odds = [F.exp(s - top) for s in scores]
-    total = sum(odds[1:], odds[0]) + F.exp(F.lit(none) - top)
-    return [o / total for o in odds]
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                terms, _ = _terms(b)
+                lists = b.column(b.schema.get_field_index("lengths"))
+                n = lists.flatten().to_numpy()
+                piece = np.repeat(np.arange(len(n)), n)
+                row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                place = _place(names, terms)
+                own = np.flatnonzero(place >= 0)
+                out = np.zeros((b.num_rows, K), np.int64)
+                if len(own):
+                    # the terms of a sentence stand together
+                    first = np.flatnonzero(np.diff(piece[own], prepend=-1))
+                    score = np.add.reduceat(logs[place[own]], first, axis=0)
+                    taken = score.max(axis=1) > p.none
+                    out = np.bincount(row[piece[own][first][taken]] * K + score.argmax(axis=1)[taken], minlength=b.num_rows * K).reshape(-1, K)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(out[:, k]) for k in range(K))], names=["doc_id", "sentences", *(f"n{k}" for k in range(K))])
+
+    return tokens.mapInArrow(run, "doc_id long, sentences int, " + ", ".join(f"n{k} long" for k in range(K)))
+
+
+def _counted_by_join(tokens: DataFrame, telling: DataFrame, p: Params) -> DataFrame:
+    """The same with a shuffle in place of the lookup."""
+    stops = F.expr("transform(lengths, (x, i) -> aggregate(slice(lengths, 1, i + 1), 0, (a, b) -> a + b))")
+    rows = tokens.withColumn("row", F.monotonically_increasing_id()).withColumn("stops", stops)
+    each = rows.select("row", "stops", F.posexplode("terms").alias("at", "term"))
+    each = each.select("row", "term", F.size(F.filter("stops", lambda s: s <= F.col("at"))).alias("piece"))
+    scores = each.join(telling, "term").groupBy("row", "piece").agg(*[F.sum(f"l{k}").alias(f"l{k}") for k in range(K)])
+    top = F.greatest(*[F.col(f"l{k}") for k in range(K)])
+    which = F.coalesce(*[F.when(F.col(f"l{k}") == top, F.lit(k)) for k in range(K)])
+    counts = scores.where(top > p.none).select("row", which.alias("k")).groupBy("row").agg(*[F.count(F.when(F.col("k") == k, 1)).alias(f"n{k}") for k in range(K)])
+    return rows.select("row", "doc_id", "sentences").join(counts, "row", "left").select("doc_id", "sentences", *[F.coalesce(f"n{k}", F.lit(0)).alias(f"n{k}") for k in range(K)])
+
+
+def seed_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, own): the packed weights of labelled documents, the same for each of their subjects."""
+    rows = labels.where(F.col("subject").isin(*SUBJECTS)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "subject").where("doc_id IS NOT NULL")
+    marks = rows.groupBy("doc_id").agg(*[F.max(F.when(F.col("subject") == s, 1.0).otherwise(0.0)).alias(f"m{k}") for k, s in enumerate(SUBJECTS)])
+    whole = sum([F.col(f"m{k}") for k in range(1, K)], F.col("m0"))
+    return marks.select("doc_id", _packed([F.col(f"m{k}") / whole for k in range(K)]).alias("own"))
 
 
 def subjects(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, subject, share): each subject that at least p.share of the document's sentences take.
+    """(doc_id, subject, share): each subject that reached the document and that at least p.share of its sentences belong to.
 
     Null and empty texts have no subject. Labels of unknown documents or subjects are ignored; repeated labels
-    count once, repeated rows of a document as one document with the sentences of all. Without usable labels there are no rows.
+    count once, repeated rows of a document as one document with the sentences of all. A document without links to any
+    labelled one, however far, is told by its sentences alone. Without usable labels there are no rows.
     """
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    mask = [F.max(F.when(F.col("subject") == s, 1.0).otherwise(0.0)).alias(f"m{k}") for k, s in enumerate(SUBJECTS)]
-    seeds = labels.where(F.col("subject").isin(*SUBJECTS)).select(F.col("doc_id").cast("bigint").alias("seed"), "subject").groupBy("seed").agg(*mask)
-    table, n = term_table(src, p)
-    keep = table >= max(p.least, p.least_share * n)
-
-    # terms of labelled documents
-    marked = _passages(src.join(seeds, F.col("doc_id") == F.col("seed"), "left_semi"), keep, np.empty(0, np.uint64), p).join(seeds, F.col("doc_id") == F.col("seed"))
-    total = sum([F.col(f"m{k}") for k in range(1, len(_W))], F.col("m0"))
-    counts = durable(marked.select(F.explode("terms").alias("term"), *[(F.col("n") * F.col(f"m{k}") / total).alias(f"w{k}") for k in range(len(_W))]).groupBy("term").agg(*_sums([F.col(w) for w in _W])), "subject-seeds")
-    prior = counts.agg(*_sums([F.col(w) for w in _W])).first()
-    whole = sum(x or 0.0 for x in prior)
-    if not whole:
-        return docs.sparkSession.createDataFrame([], "doc_id long, subject string, share double")
-    share = [(x or 0.0) / whole for x in prior]
-
-    def scores(ws: list[Column]) -> list[Column]:
-        """Log of how much more a term leans to each subject than all terms do, shrunk where it is rare."""
-        both = sum(ws[1:], ws[0]) + 1.0
-        # a subject without seeds can't be told and never spreads
-        return [F.log((w + F.lit(q)) / both / F.lit(q)) if q else F.lit(-50.0) for w, q in zip(ws, share)]
-
-    size = sum([F.col(w) for w in _W[1:]], F.col("w0"))
-    lean = F.greatest(F.lit(0.0), *[F.col(w) / size / F.lit(q) for w, q in zip(_W, share) if q])
-    even = [r[0] for r in counts.where((size >= p.seen) & (lean < p.lift)).select("term").collect()]  # at most as many as labelled documents show p.seen times
-    edges = durable(_passages(src, keep, np.array(even, dtype=np.int64).view(np.uint64), p), "subject-passages")
-    nodes = durable(edges.groupBy("pid").agg(F.sum("n").alias("n"), F.first("terms").alias("terms")), "subject-nodes")
-    parts = nodes.select("pid", F.explode("terms").alias("term"))
-    clamped = durable(edges.join(seeds, F.col("doc_id") == F.col("seed")).select("pid", "n", "terms", *[f"m{k}" for k in range(len(_W))]), "subject-clamped")
-
-    weights = counts
-    for step in range(p.rounds + 1):
-        logs = weights.select("term", *[s.alias(w) for s, w in zip(scores([F.col(w) for w in _W]), _W)])
-        # rare terms grow with the input; when they are many, the join shuffles
-        few = weights.count() <= p.sent
-        scored = parts.join(F.broadcast(logs) if few else logs, "term").groupBy("pid").agg(*_sums([F.col(w) for w in _W]))
-        labelled = durable(scored.select("pid", *[x.cast("float").alias(w) for x, w in zip(_posterior([F.col(w) for w in _W], p.none), _W)]), "subject-labels")
-        if step == p.rounds:
-            break
-        own = [F.col(w) * F.col(f"m{k}") for k, w in enumerate(_W)]
-        rest = F.greatest(F.lit(1.0) - sum([F.col(w) for w in _W[1:]], F.col("w0")), F.lit(0.0))
-        held = sum(own[1:], own[0]) + rest + 1e-9
-        from_seeds = clamped.join(labelled, "pid").select(F.explode("terms").alias("term"), *[(F.col("n") * x / held).alias(w) for x, w in zip(own, _W)])
-        from_rest = nodes.join(labelled, "pid").select(F.explode("terms").alias("term"), *[(F.col("n") * F.col(w) * p.free).alias(w) for w in _W])
-        weights = durable(from_seeds.unionByName(from_rest).groupBy("term").agg(*_sums([F.col(w) for w in _W])), "subject-terms")
-    def best(ws: list[Column]) -> Column:
-        """The subject of a passage, or null where none is likelier."""
-        top = F.greatest(*ws)
-        return F.when(top > F.lit(1.0) - sum([F.col(w) for w in _W[1:]], F.col("w0")), F.coalesce(*[F.when(w == top, F.lit(s)) for w, s in zip(ws, SUBJECTS)]))
-
-    cols = ["doc_id", "sentences", "pid", "n", "subject"]
-    taken = labelled.select("pid", best([F.col(w) for w in _W]).alias("subject")).where("subject IS NOT NULL")
-    free = edges.join(seeds, F.col("doc_id") == F.col("seed"), "left_anti").join(taken, "pid", "left").select(*cols)
-    bound = edges.join(seeds, F.col("doc_id") == F.col("seed")).join(labelled, "pid", "left").withColumn("subject", best([F.col(w) * F.col(f"m{k}") for k, w in enumerate(_W)])).select(*cols)
-    each = free.unionByName(bound)
-    per = each.groupBy("doc_id").agg(F.sum("sentences").alias("sentences"), *[F.sum(F.when(F.col("subject") == s, F.col("n"))).alias(s) for s in SUBJECTS])
-    rows = per.select("doc_id", F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), (F.col(s) / F.col("sentences")).alias("share")) for s in SUBJECTS])).alias("x")).select("doc_id", "x.*")
-    return rows.where(F.col("share") >= p.share - 1e-9)
+    tokens = durable(tokenised(src), "subject-tokens")
+    seeds = durable(seed_weights(labels), "subject-seeds")
+    found = durable(links(tokens, p), "subject-links")
+    labelled = propagated(found, seeds, p)
+    counts = sentence_subjects(tokens, telling_terms(tokens, labelled, p), p).join(labelled, "doc_id", "left")
+    each = F.array(*[F.struct(F.lit(s).alias("subject"), (F.col(f"n{k}") / F.col("sentences")).alias("share"), (F.col("y").isNull() | (_weight(F.col("y"), k) >= p.reach)).alias("reached")) for k, s in enumerate(SUBJECTS)])
+    rows = counts.where("sentences > 0").select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*")
+    return rows.where(F.col("reached") & (F.col("share") >= p.share - 1e-9)).drop("reached")
 
 
 def found(docs: DataFrame, labels: DataFrame) -> DataFrame:
