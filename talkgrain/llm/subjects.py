@@ -12,13 +12,15 @@ Texts are split and hashed once; everything else reads those tokens.
    weights of all eight subjects, so that several are kept. Seeds are clamped: they take nothing.
 4. Check. A subject must have reached the document over links (`reach` of its weight), and at least `share` of its
    sentences must belong to it. Sentences are told by terms that, counted over all propagated documents, lean to a subject
-   by `lift` and by `sure` standard deviations; a sentence below `none` (log odds) is small talk.
+   by `lift` (subjects on one footing) and by `sure` standard deviations; a sentence below `none` (log odds) is small talk.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +125,7 @@ def links(tokens: DataFrame, p: Params) -> DataFrame:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, idf, rare = sent.value
         sign = np.unpackbits(np.stack([mix(names.astype(np.uint64) * np.uint64(2 * k + 1) + np.uint64(k)) for k in range(p.orders)], axis=1).view(np.uint8), axis=1).reshape(len(names), p.orders, 64)[:, :, : p.bits]
-        sign = (sign.astype(np.float32) * 2 - 1).reshape(len(names), -1)
+        sign = (sign.astype(np.float32) * 2 - 1).reshape(len(names), p.orders * p.bits)
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
@@ -246,15 +248,16 @@ def telling_terms(tokens: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
     sums = counts.agg(*[F.sum(w) for w in weights]).first()
     whole = sum(x or 0.0 for x in sums)
     prior = [(x or 0.0) / whole if whole else 0.0 for x in sums]
-    n = sum([F.col(w) for w in weights[1:]], F.col("w0"))
-    live = [(F.col(w), q) for w, q in zip(weights, prior) if 0 < q < 1]
-    if not live:
+    live = [k for k, q in enumerate(prior) if 0 < q < 1]
+    if not live:  # one subject alone can't be told from others
         return counts.limit(0).select("term", *[F.lit(0.0).alias(f"l{k}") for k in range(K)])
-    leans = [((w / n >= p.lift * q) & ((w / n - q) >= p.sure * F.sqrt(F.lit(q * (1 - q)) / n))) for w, q in live]
-    told = sum([x.cast("int") for x in leans[1:]], leans[0].cast("int")) > 0
+    # subjects on one footing, however many documents they have, and shrunk where a term is rare
+    even = [F.col(f"w{k}") / prior[k] + 2.0 for k in live]
+    rows = counts.withColumn("n", sum([F.col(w) for w in weights[1:]], F.col("w0"))).where("n > 0").withColumn("even", sum(even[1:], even[0]))
+    logs = {k: F.log(e / F.col("even") * len(live)) for k, e in zip(live, even)}
+    leans = [(logs[k] >= math.log(p.lift)) & ((F.col(f"w{k}") / F.col("n") - prior[k]) >= p.sure * F.sqrt(F.lit(prior[k] * (1 - prior[k])) / F.col("n"))) for k in live]
     # a subject without seeds can't be told and never spreads
-    logs = [F.log((F.col(w) + 2.0 * q) / (n + 2.0) / q) if q else F.lit(-50.0) for w, q in zip(weights, prior)]
-    return counts.where((n > 0) & told).select("term", *[x.alias(f"l{k}") for k, x in enumerate(logs)])
+    return rows.where(reduce(Column.__or__, leans)).select("term", *[logs.get(k, F.lit(-50.0)).alias(f"l{k}") for k in range(K)])
 
 
 def sentence_subjects(tokens: DataFrame, telling: DataFrame, p: Params) -> DataFrame:
