@@ -11,7 +11,8 @@ k_c being the size of the combinations of class c: below that, each class hides
 set may hide too many of its tokens in different classes to get there; up to the size where that can happen (and for
 the sets such a one may be similar to) all frequent tokens are one class, whose k is at most the tokens two different
 similar sets share.
-Equal signatures give candidate pairs, whose exact similarity is then computed from the whole texts. Records with
+Equal signatures give candidate pairs, whose exact similarity is then computed from the whole texts. A signature that more
+than `group` sets may have is compared in parts. Records with
 equal sets form one class and enter the search once; links between classes are returned, and copies are expanded
 only by `row_pairs`.
 """
@@ -22,7 +23,6 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ class Params:
     cells: size of the frequency table (4 bytes a cell while counting, 1 when sent to the executors).
     pair_df, triple_df: frequencies above which tokens are indexed in combinations of two and three.
     parts: classes into which tokens of equal combination size are divided, so that combinations stay few.
+    group: sets with one signature that are compared in one task; where there may be more, they are compared in parts.
     large: sets above this size are compared by bands of size, with classes in number to their size.
     """
 
@@ -54,6 +55,7 @@ class Params:
     triple_df: int = 1 << 16
     parts: int = 4
     large: int = 2048
+    group: int = 1 << 15
 
 
 _CHUNKS = 64
@@ -69,10 +71,23 @@ def _code(count: np.ndarray) -> np.ndarray:
     return np.minimum(code, 255).astype(np.uint8)
 
 
-def _code_of(count: int) -> int:
+def _code_of(count: float) -> int:
     return min(255, math.ceil(8 * math.log2(max(count, 1))))
 
 
+def thresholds(table: np.ndarray, p: Params) -> tuple[int, int]:
+    """Codes above which tokens are taken as frequent and as very frequent.
+
+    A cell counts its own tokens and, when there are more tokens than cells, others too. What others add is a matter of
+    the load of the table (tokens a cell, read off its median) and varies by its square root, so that many allowed on
+    top of pair_df and triple_df. A rare token is indexed alone then as it is in an empty table: signatures don't grow
+    with the collection.
+    """
+    load = 2.0 ** (float(np.median(table)) / 8) if len(table) and np.median(table) else 0.0
+    others = load + 4 * math.sqrt(load)
+    return _code_of(p.pair_df + others), _code_of(p.triple_df + others)
+
+
 def _texts(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
@@ -156,8 +171,11 @@ def _short(p: Params) -> tuple[int, int, int]:
     return most, int(most / t + 1e-6), k
 
 
-def _signatures(tok: np.ndarray, code: np.ndarray, need: int, parts: int, pair: int, triple: int, one: int = 0) -> np.ndarray:
-    """Signatures of one set whose tokens are given in the global order; one: k of all frequent tokens as one class."""
+def _signatures(tok: np.ndarray, code: np.ndarray, need: int, parts: int, pair: int, triple: int, one: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set whose tokens are given in the global order, and the code of the rarest token of each.
+
+    one: k of all frequent tokens as one class.
+    """
     if one:
         kind = np.where(code > pair, one, 1)
         group = (code > pair).astype(np.int64)
@@ -170,22 +188,27 @@ def _signatures(tok: np.ndarray, code: np.ndarray, need: int, parts: int, pair:
         counts[np.flatnonzero(group == g)[k - 1 :]] = True
     first = int(np.searchsorted(np.cumsum(counts), need)) + 1
     tok, code, kind, group = tok[:first], code[:first], kind[:first], group[:first]
-    out = [tok[(kind == 1) & (code > 0)]]
+    alone = (kind == 1) & (code > 0)
+    out, most = [tok[alone]], [code[alone]]
     for g in set(group[kind > 1].tolist()):
-        own = np.sort(tok[group == g])
+        own, of = tok[group == g], code[group == g]
+        by = np.argsort(own)
+        own, of = own[by], of[by]
         k = one or (2 if g <= parts else 3)
         if len(own) < k:
             continue
         if k == 2:
             i, j = _pairs(len(own))
             out.append(mix(own[i] * np.uint64(3) + mix(own[j])))
+            most.append(np.minimum(of[i], of[j]))
         else:
-            idx = np.array(list(combinations(range(len(own)), k)))
+            idx = _combinations(len(own), k)
             acc = np.zeros(len(idx), dtype=np.uint64)
             for c in range(k):
                 acc = mix(acc * np.uint64(5) + own[idx[:, c]])
             out.append(acc)
-    return np.concatenate(out)
+            most.append(of[idx].min(axis=1))
+    return np.concatenate(out), np.concatenate(most)
 
 
 @lru_cache(256)
@@ -193,11 +216,41 @@ def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
+@lru_cache(64)
+def _combinations(n: int, k: int) -> np.ndarray:
+    """All k of n places, in order, as rows."""
+    idx = np.arange(n)[:, None]
+    for _ in range(k - 1):
+        more = n - 1 - idx[:, -1]
+        rows = np.repeat(np.arange(len(idx)), more)
+        nxt = idx[rows, -1] + 1 + np.arange(len(rows)) - np.repeat(np.cumsum(more) - more, more)
+        idx = np.column_stack([idx[rows], nxt])
+    return idx
+
+
+def _spread(sig: np.ndarray, most: np.ndarray, ids: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature, side and row of each place a row of a signature is sent to.
+
+    most: sets that may have the signature, known from the frequencies of its tokens. Where these are more than `group`,
+    sets fall into c parts by their id and each pair of parts is a signature of its own: a set goes to c of them. Sides 0
+    and 1 meet each other, side 2 (one part, or a part and itself) meets all.
+    """
+    c = np.maximum(1, np.ceil(most / group)).astype(np.int64)
+    if c.max(initial=1) == 1:
+        return sig, np.full(len(sig), 2, np.int8), np.arange(len(sig))
+    row = np.repeat(np.arange(len(sig)), c)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c)
+    own = (mix(ids.astype(np.uint64)) % c.astype(np.uint64)).astype(np.int64)[row]
+    lo, hi, many = np.minimum(own, other), np.maximum(own, other), c[row] > 1
+    out = np.where(many, mix(sig[row] + mix((lo * c[row] + hi).astype(np.uint64) + np.uint64(1))), sig[row])
+    return out, np.where(lo == hi, 2, own == hi).astype(np.int8), row
+
+
 def signatures(sets: DataFrame, table: np.ndarray, p: Params) -> DataFrame:
-    """(sig, id, n): every signature of every set."""
+    """(sig, side, id, n, parity words): every signature of every set."""
     spark = sets.sparkSession
     sent = spark.sparkContext.broadcast(table.tobytes())
-    pair, triple, t = _code_of(p.pair_df), _code_of(p.triple_df), p.similarity
+    (pair, triple), t = thresholds(table, p), p.similarity
     step = math.log(1 / t)
     short, reach, one = _short(p)
 
@@ -223,7 +276,7 @@ def signatures(sets: DataFrame, table: np.ndarray, p: Params) -> DataFrame:
             plain = (last <= pair) & (n <= p.large * t)
             place = np.arange(len(tok)) - np.repeat(at[:-1], n)
             take = np.flatnonzero(np.repeat(plain, n) & (place < np.repeat(need, n)) & (code > 0))
-            sigs, whose = [tok[take]], [np.repeat(np.arange(len(n)), n)[take]]
+            sigs, whose, most = [tok[take]], [np.repeat(np.arange(len(n)), n)[take]], [2.0 ** (code[take].astype(np.float64) / 8)]
             for i in np.flatnonzero(~plain & (n > 0)):
                 x, c = tok[at[i] : at[i + 1]], code[at[i] : at[i + 1]]
                 got = []
@@ -235,33 +288,80 @@ def signatures(sets: DataFrame, table: np.ndarray, p: Params) -> DataFrame:
                     else:  # one set of signatures for each band of sizes it may meet
                         band = 0 if n[i] <= p.large else 1 + int(math.log(n[i] / p.large) / step)
                         for k in (band, band + 1):
-                            own_sigs = _signatures(x, c, need[i], parts(k), pair, triple)
-                            got.append(mix(own_sigs + np.uint64(k)) if k else own_sigs)
-                got = np.unique(np.concatenate(got))
-                sigs.append(got)
-                whose.append(np.full(len(got), i))
-            flat, whose = np.concatenate(sigs), np.concatenate(whose)
+                            own_sigs, own_most = _signatures(x, c, need[i], parts(k), pair, triple)
+                            got.append((mix(own_sigs + np.uint64(k)) if k else own_sigs, own_most))
+                flat, first = np.unique(np.concatenate([g[0] for g in got]), return_index=True)
+                sigs.append(flat)
+                most.append(2.0 ** (np.concatenate([g[1] for g in got])[first].astype(np.float64) / 8))
+                whose.append(np.full(len(flat), i))
+            whose = np.concatenate(whose)
+            flat, side, row = _spread(np.concatenate(sigs), np.concatenate(most), ids[whose], p.group)
+            whose = whose[row]
             for lo in range(0, len(flat), 1 << 16):
                 part = slice(lo, lo + (1 << 16))
                 who = whose[part]
-                cols = [pa.array(flat[part].view(np.int64)), pa.array(ids[who]), pa.array(n[who].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(parity[who, k]) for k in range(_WORDS))], names=["sig", "id", "n", *_PARITY])
-
-    return sets.select("id", "text").mapInArrow(run, "sig long, id long, n int, " + ", ".join(f"{x} long" for x in _PARITY))
+                cols = [pa.array(flat[part].view(np.int64)), pa.array(side[part]), pa.array(ids[who]), pa.array(n[who].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(parity[who, k]) for k in range(_WORDS))], names=["sig", "side", "id", "n", *_PARITY])
+
+    return sets.select("id", "text").mapInArrow(run, "sig long, side tinyint, id long, n int, " + ", ".join(f"{x} long" for x in _PARITY))
+
+
+#: Pairs looked at in one step.
+_STEP = 1 << 20
+
+
+def _similar_pairs(sig: np.ndarray, side: np.ndarray, ids: np.ndarray, n: np.ndarray, parity: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, sorted by signature and size, that may be similar: ids, the smaller first."""
+    new = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, bool)
+    key = np.cumsum(new) << 32
+    # behind a row those of its signature that aren't too large
+    upto = np.searchsorted(key + n, key + np.minimum(np.floor(n / t + 1e-6), 2**31).astype(np.int64), "right")
+    count = np.maximum(upto - np.arange(len(sig)) - 1, 0)
+    ends = np.cumsum(count)
+    lo = 0
+    while lo < len(sig):
+        hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _STEP, "right")), lo + 1)
+        c = count[lo:hi]
+        left = np.repeat(np.arange(lo, hi), c)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
+        ok = ((side[left] != side[right]) | (side[left] == 2)) & (ids[left] != ids[right])
+        left, right = left[ok], right[ok]
+        differ = np.bitwise_count((parity[left] ^ parity[right]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        ok = differ <= (n[left] + n[right]) * ((1 - t) / (1 + t)) + 1e-6
+        a, b = ids[left[ok]], ids[right[ok]]
+        yield np.minimum(a, b), np.maximum(a, b)
+        lo = hi
 
 
 def candidates(sigs: DataFrame, p: Params) -> DataFrame:
     """Different pairs (a, b), a < b, with a signature in common whose sizes and parity words allow the similarity.
 
-    Each bit in which the parities differ stands for at least one token that only one of the two sets has.
+    Each bit in which the parities differ stands for at least one token that only one of the two sets has. Rows come
+    sorted and pairs are made in steps of bounded size; a signature many sets may have was sent in parts.
     """
-    a = sigs.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), *[F.col(x).alias(f"a_{x}") for x in _PARITY])
-    b = sigs.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), *[F.col(x).alias(f"b_{x}") for x in _PARITY])
     t = p.similarity - 1e-9
-    fits = (F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * t) & (F.col("nb") >= F.col("na") * t)
-    differ = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in _PARITY[1:]), F.bit_count(F.col(f"a_{_PARITY[0]}").bitwiseXOR(F.col(f"b_{_PARITY[0]}"))))
-    fits &= differ <= (F.col("na") + F.col("nb")) * ((1 - t) / (1 + t)) + 1e-6
-    return a.join(b.hint("merge"), "sig").where(fits).select("a", "b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            sig, side, ids, n, *words = (c.to_numpy() for c in b.columns)
+            for x, y in _similar_pairs(sig, side, ids, n.astype(np.int64), np.stack(words, axis=1), t):
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+        rest: list[pa.RecordBatch] = []  # rows of the signature that may go on in the next batch
+        for b in batches:
+            sig = b.column(0).to_numpy()
+            if not len(sig):
+                continue
+            last = int(np.searchsorted(sig, sig[-1]))
+            if last or (rest and rest[-1].column(0)[-1].as_py() != sig[0]):
+                yield from pairs(pa.concat_batches([*rest, b.slice(0, last)]))
+                rest = []
+            rest.append(b.slice(last))
+        if rest:
+            yield from pairs(pa.concat_batches(rest))
+
+    return sigs.repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
@@ -316,14 +416,28 @@ def link(df: DataFrame, id_col: str, text_col: str, p: Params | None = None, car
     return Links(durable(own, "neardup-members"), links)
 
 
-def row_pairs(found: Links, differ: list[str]) -> DataFrame:
-    """(row_a, row_b): all pairs of rows of linked classes and of one class, unless all columns in `differ` are equal."""
+def row_pairs(found: Links, differ: list[str], part: int = 2000) -> DataFrame:
+    """(row_a, row_b): all pairs of rows of linked classes and of one class, unless all columns in `differ` are equal.
+
+    Classes of more than `part` rows are joined in parts, each pair of parts by itself, so that a large group of copies
+    is no single task's work.
+    """
     m = found.members
-    a = m.select(F.col("class_id").alias("a"), F.col("id").alias("ia"), *[F.col(c).alias(f"a_{c}") for c in differ])
-    b = m.select(F.col("class_id").alias("b"), F.col("id").alias("ib"), *[F.col(c).alias(f"b_{c}") for c in differ])
-    many = m.groupBy("class_id").count().where("count > 1").select("class_id")
-    own = many.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
-    pairs = found.links.select("a", "b").unionByName(own).join(a, "a").join(b, "b")
+    sizes = m.groupBy("class_id").count()
+    parts = sizes.where(F.col("count") > part).select("class_id", F.ceil(F.col("count") / part).cast("int").alias("parts"))
+    many = sizes.where("count > 1").select("class_id")
+    pairs = found.links.select("a", "b").unionByName(many.select(F.col("class_id").alias("a"), F.col("class_id").alias("b")))
+    keys = {"a": ["a"], "b": ["b"]}
+    if not parts.isEmpty():
+        parts = durable(parts, "neardup-parts")
+        m = m.join(parts, "class_id", "left").withColumn("k", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+        for side in ("a", "b"):
+            pairs = pairs.join(parts.select(F.col("class_id").alias(side), F.col("parts").alias(f"p{side}")), side, "left").withColumn(f"k{side}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(f"p{side}", F.lit(1)).cast("bigint") - 1))).drop(f"p{side}")
+            keys[side].append(f"k{side}")
+    # the places of a class are sent on by pair of parts, not by class
+    for side in ("a", "b"):
+        own = m.select(F.col("class_id").alias(side), *([F.col("k").alias(f"k{side}")] if len(keys[side]) > 1 else []), F.col("id").alias(f"i{side}"), *[F.col(c).alias(f"{side}_{c}") for c in differ])
+        pairs = pairs.join(own, keys[side])
     same = F.lit(bool(differ))
     for c in differ:
         same = same & F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False))

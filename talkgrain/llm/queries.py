@@ -16,8 +16,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each message of 5-unit shingles: its class of equal sets and the number of other rows of similarity 0.8 or more."""
-    return near_duplicates.classes(near_duplicates.link(read_table(spark, sf_dir, "messages"), "row_id", "content"))
+    """The compact form of p1_found: each message that takes part, its class of equal sets and the number of rows it is similar to."""
+    return near_duplicates.classes(near_duplicates.message_links(read_table(spark, sf_dir, "messages")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,4 +135,8 @@ u AS (SELECT kind, id, regexp_extract_all(regexp_replace(lower(text), '([\x{{4e0
 t AS (SELECT DISTINCT kind, id, array_to_string(us[i:i + 11], ' ') AS run FROM (SELECT kind, id, us, unnest(range(1, len(us) - 10)) AS i FROM u WHERE len(us) >= 12))
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM t d JOIN t i ON d.run = i.run AND d.kind = 'd' AND i.kind = 'i'""",
     "p1_found": f"WITH {_similar(3, 50, 0.7)} SELECT a AS row_a, b AS row_b FROM p WHERE ka <> kb",
+    "p1_classes": f"""WITH {_similar(3, 50, 0.7)},
+h AS (SELECT row_id AS id, md5(string_agg(tri, '|' ORDER BY tri)) AS h FROM t WHERE row_id IN (SELECT row_id FROM n) GROUP BY row_id),
+e AS (SELECT id, count(*) AS links FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id)
+SELECT id, min(id) OVER (PARTITION BY h) AS class_id, count(*) OVER (PARTITION BY h) AS class_size, coalesce(links, 0) AS links FROM h LEFT JOIN e USING (id)""",
 }

@@ -47,6 +47,8 @@ def collection(seed, n=60, length=40, words=12):
     (3, nd.Params(width=1, similarity=0.7, least=1, cells=1 << 12, pair_df=2, triple_df=8, parts=2)),
     (4, nd.Params(width=3, similarity=0.7, least=5, cells=64)),
     (5, nd.Params(width=2, similarity=0.75, least=5, cells=1 << 12, pair_df=2, large=12)),
+    (6, nd.Params(width=1, similarity=0.7, least=1, cells=1 << 12, pair_df=2, triple_df=8, parts=2, group=4)),
+    (7, nd.Params(width=2, similarity=0.7, least=1, cells=64, group=3)),
 ])
 def test_against_brute_force(spark, seed, p):
     rows = [(i, f"https://h/c/1/{i // 2}" if i % 7 else None, t, "clash", "clash") for i, t in enumerate(collection(seed))]
@@ -74,6 +76,29 @@ def test_short_records_of_frequent_tokens(spark, seed, p):
     assert {tuple(r) for r in nd.message_pairs(spark.createDataFrame(rows, SCHEMA), p).collect()} == brute(rows, p)
 
 
+def test_classes_in_parts(spark):
+    texts = collection(8, n=40)
+    rows = [(i, f"https://h/c/1/{i // 2}", texts[0] if i % 3 else texts[i // 3], "", "") for i in range(90)]
+    p = nd.Params(width=2, similarity=0.7, least=1, cells=1 << 12)
+    got = nd.row_pairs(nd.message_links(spark.createDataFrame(rows, SCHEMA), p), ["share", "msg"], part=7).collect()
+    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == brute(rows, p)
+
+
+@pytest.mark.parametrize("load", [0.1, 4, 400])
+def test_signatures_stay_flat_in_a_loaded_table(load):
+    """A set of tokens that hardly any other has gets about as many signatures in a full table as in an empty one."""
+    rng = np.random.default_rng(3)
+    p = nd.Params(width=3, similarity=0.7, least=50, cells=1 << 12)
+    table = nd._code(rng.poisson(load, p.cells) + 1)
+    pair, triple = nd.thresholds(table, p)
+    for n in (60, 200, 500, 1400):
+        tok = rng.integers(0, 1 << 48, n, dtype=np.uint64)
+        code = table[(tok % np.uint64(p.cells)).astype(np.int64)]
+        order = np.argsort(code, kind="stable")
+        need = n - int(np.ceil(0.7 * n)) + 1
+        assert len(nd._signatures(tok[order], code[order], need, p.parts, pair, triple)[0]) <= 1.05 * need
+
+
 def test_edge_cases(spark):
     long = " ".join(f"word{i}" for i in range(30_000))
     rows = [(1, "https://h/c/1/1", None, "", ""), (2, "https://h/c/1/2", "", "", ""), (3, "https://h/c/1/3", "too short", "", ""), (4, "https://h/c/1/4", long, "", ""), (5, "https://h/c/1/5", long + " more", "", ""), (None, "https://h/c/1/6", long, "", ""),
