@@ -23,9 +23,6 @@ from talkgrain.session import durable
 LEVELS = ("domain", "language", "source")
 #: Hash buckets of an epoch's order.
 BUCKETS = 4096
-#: Domains of the sources; a source not named here is a domain of its own.
-DOMAINS = {"channel_post": "broadcast", "bot_digest": "broadcast", "pinned_note": "broadcast", "press_kit": "broadcast",
-           "group_thread": "conversation", "support_chat": "conversation", "forum_bridge": "conversation", "voice_note": "conversation"}
 
 
 @cache
@@ -106,12 +103,15 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, seed:
     """doc_id, source, language, tokens, copies: documents of the mixture and how often each appears.
 
     total: tokens of the mixture, by default those of all documents with a target; at most what max_repeats allows.
+    domains: of sources, by default what a column `domain` of targets says; a source without one is a domain of its own.
     A document of unknown language counts as language 'none'. Documents without a source or whose source has no target
     are left out, as are null texts and repeats of a doc_id beyond one row each as given; a source without documents
     gets nothing and its share goes to its siblings. A leaf's size is exact to half a document.
     """
-    spark, domains = docs.sparkSession, DOMAINS if domains is None else domains
-    goal = {r["source"]: (r["target_share"] or 0.0, max(0, r["max_repeats"] or 0)) for r in targets.select("source", "target_share", "max_repeats").collect() if r["source"] is not None}  # one row a source
+    spark = docs.sparkSession
+    given = targets.select("source", "target_share", "max_repeats", F.col("domain") if "domain" in targets.columns else F.lit(None).alias("domain")).where("source IS NOT NULL").collect()  # one row a source
+    goal = {r["source"]: (r["target_share"] or 0.0, max(0, r["max_repeats"] or 0)) for r in given}
+    domains = {r["source"]: r["domain"] for r in given if r["domain"] is not None} if domains is None else domains
     wanted = docs.where(F.col("source").isin(*goal)).select("doc_id", "text", "source", F.coalesce("lang", F.lit("none")).alias("language"))
     sizes = durable(token_counts(wanted, "doc_id", "text", ["source", "language"], tokenizer), "mix-sizes")
     stats = sizes.groupBy("language", "source").agg(F.sum("tokens").alias("tokens")).collect()  # one row a leaf
@@ -132,18 +132,19 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, seed:
         plan.append((language, source, epochs, float(leaf.budget - epochs * n) if epochs < goal[source][1] else 0.0))
     plans = F.broadcast(spark.createDataFrame(plan, "language string, source string, epochs int, rest double"))  # one row a leaf
     key = ["language", "source"]
-    order = F.xxhash64(F.lit(seed), F.col("epochs"), "doc_id")
-    rows = sizes.join(plans, key).withColumn("h", order).withColumn("bucket", F.shiftrightunsigned("h", 64 - 12).cast("int"))
-    buckets = rows.groupBy(*key, "bucket").agg(F.sum("tokens").alias("in_bucket"), F.first("rest").alias("rest"))
-    before = F.sum("in_bucket").over(Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # at most BUCKETS rows a leaf
-    buckets = durable(buckets.withColumn("before", F.coalesce(before, F.lit(0))).select(*key, "bucket", "before", ((F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_bucket") > F.col("rest"))).alias("ends")), "mix-buckets")
-    placed = rows.join(buckets, [*key, "bucket"])
-    inside = placed.where(~F.col("ends")).withColumn("at", F.col("before"))
-    running = F.sum("tokens").over(Window.partitionBy(*key, "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    edge = placed.where("ends").withColumn("at", F.col("before") + F.coalesce(running, F.lit(0)))
-    extra = F.when((F.col("rest") > 0) & (F.col("at") + F.when(F.col("ends"), F.col("tokens") / 2).otherwise(0) < F.col("rest")), 1).otherwise(0)
-    out = inside.unionByName(edge).withColumn("copies", F.col("epochs") + extra)
-    return out.where("copies > 0").select("doc_id", "source", "language", "tokens", "copies")
+    rows = sizes.join(plans, key).withColumn("h", F.xxhash64(F.lit(seed), F.col("epochs"), "doc_id")).withColumn("bucket", F.shiftrightunsigned("h", 64 - 12).cast("int"))
+    in_bucket = rows.where("rest > 0").groupBy(*key, "bucket").agg(F.sum("tokens").alias("in_bucket"), F.first("rest").alias("rest"))
+    before = F.coalesce(F.sum("in_bucket").over(Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most BUCKETS rows a leaf
+    ends = in_bucket.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_bucket") >= F.col("rest"))).select(*key, F.col("bucket").alias("last"), "before")
+    ends = spark.createDataFrame(ends.collect(), ends.schema)  # the bucket a budget ends in: one row a leaf
+    placed = rows.join(F.broadcast(ends), key, "left")
+    running = F.sum("tokens").over(Window.partitionBy(*key).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    edge = placed.where(F.col("bucket") == F.col("last")).withColumn("at", F.col("before") + F.coalesce(running, F.lit(0)) + F.col("tokens") / 2)
+    edge = edge.withColumn("copies", F.col("epochs") + (F.col("at") < F.col("rest")).cast("int")).drop("at")
+    # without such a bucket the budget takes all the leaf, or nothing
+    sure = placed.where(F.col("last").isNull() | (F.col("bucket") != F.col("last")))
+    sure = sure.withColumn("copies", F.col("epochs") + ((F.col("rest") > 0) & (F.col("last").isNull() | (F.col("bucket") < F.col("last")))).cast("int"))
+    return sure.unionByName(edge).where("copies > 0").select("doc_id", "source", "language", "tokens", "copies")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -55,6 +55,48 @@ def test_siblings_before_ancestors():
     assert got == {"p": 10, "q": 190, "r": 200}
 
 
+PREFIXES = """
+WITH w AS (SELECT source, sum(tokens) AS whole FROM sizes GROUP BY source),
+l AS (SELECT language, source, sum(tokens) AS n, any_value(target_share) * sum(tokens) / any_value(whole) AS weight FROM sizes JOIN w USING (source) JOIN targets USING (source) GROUP BY ALL),
+b AS (SELECT *, {total} * weight / sum(weight) OVER () AS budget FROM l),
+e AS (SELECT *, floor(budget / n) AS epochs, budget - floor(budget / n) * n AS rest FROM b),
+o AS (SELECT doc_id, source, language, s.tokens, epochs, rest, sum(s.tokens) OVER (PARTITION BY source, language ORDER BY h >= 0 DESC, h, doc_id) - s.tokens / 2 AS spot FROM sizes s JOIN e USING (source, language))
+SELECT doc_id, source, language, tokens, CAST(epochs + (spot < rest)::INT AS INT) AS copies FROM o WHERE epochs + (spot < rest)::INT > 0"""
+
+
+@pytest.mark.parametrize("total", [700, 5000, 20000])
+def test_prefixes_against_sql(spark, total):
+    """With capacity for all, budgets, epochs and prefixes are those that SQL finds from the sizes alone."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    docs = [(i, "word " * (1 + i * 7 % 23), ("en", "de", None)[i % 3], ("a", "b", "c")[i * i % 3], "") for i in range(400)]
+    targets = [("a", 0.5, 99), ("b", 0.3, 99), ("c", 0.2, 99)]
+    df, goal = spark.createDataFrame(docs, DOCS), spark.createDataFrame(targets, TARGETS)
+    got = M.mixture(df, goal, total=total)
+    sizes = M.token_counts(df.withColumn("language", F.coalesce("lang", F.lit("none"))), "doc_id", "text", ["source", "language"])
+    con = duckdb.connect()
+    con.register("targets", goal.toArrow())
+    con.register("sizes", sizes.withColumn("h", F.lit(0).cast("bigint")).toArrow())
+    epochs = {(r[0], r[1]): int(r[2]) for r in con.sql(PREFIXES.split("o AS")[0].rstrip().rstrip(",").format(total=total) + " SELECT language, source, epochs FROM e").fetchall()}
+    per = spark.createDataFrame([(*k, v) for k, v in epochs.items()], "language string, source string, epochs int")
+    con.register("sizes", sizes.join(per, ["language", "source"]).withColumn("h", F.xxhash64(F.lit(7), "epochs", "doc_id")).drop("epochs").toArrow())
+    # unsigned order of the hash is the order of buckets; within one bucket the signed order is the same
+    want = con.sql(PREFIXES.format(total=total)).fetchall()
+    assert sorted((r["doc_id"], r["source"], r["language"], r["tokens"], r["copies"]) for r in got.collect()) == sorted(map(tuple, want))
+
+
+def test_domains_of_targets(spark):
+    docs = [(i, "word " * 50, "en", s, "") for i, s in enumerate("aabbbbcccc")]
+    rows = [("a", 0.4, 1, "x"), ("b", 0.1, 9, "x"), ("c", 0.5, 9, "y")]
+    goal = spark.createDataFrame(rows, TARGETS + ", domain string")
+    df = spark.createDataFrame(docs, DOCS)
+    share = lambda t: {r["source"]: r["actual_share"] for r in M.shares(M.mixture(df, t, total=500), t).collect()}
+    assert share(goal) == pytest.approx({"a": 0.2, "b": 0.3, "c": 0.5}, abs=0.06)
+    alone = share(goal.drop("domain"))
+    assert alone["a"] == pytest.approx(0.2, abs=0.02) and alone["c"] > 0.6
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "doc_id long, text string")
     got = {r["doc_id"]: r["tokens"] for r in M.token_counts(df, "doc_id", "text", []).collect()}
