@@ -1,12 +1,14 @@
 """Evaluation passages that appear, fully or partly and with few edits, in documents.
 
 Both sides are read as their units joined by single spaces. The items' character q-grams form an index that goes to the
-executors in blocks of bounded size. A document's q-grams are looked up, and neighbouring hits on one diagonal (document
-position minus item position) form runs without any edit: these are regions as they are. A region with edits goes from
-the beginning of a run to the end of one. With n characters and at most e(n) edits it shares at least n + 1 - q (1 + e(n))
-q-grams; all pairs of runs of a document and an item that have as many between them are aligned, and the longest within
-the budget is kept for each beginning, unless it lies inside another region. Every document is read whole and once for
-each block of items; nothing is shuffled.
+executors in blocks of bounded size. A document's q-grams are looked up, and every hit falls into two overlapping bands of
+diagonals (document position minus item position). A region of n characters with at most e(n) edits stays within e(n)
+diagonals and shares at least n + 1 - q (1 + e(n)) q-grams (the q-gram lemma); bands are as wide as twice the most edits an
+item allows and overlap by half, so that every region lies whole in one of them. Bands with fewer hits than the shortest
+region needs are dropped. In the others, hits on one diagonal form runs; each stretch from the beginning of a run to the
+end of the same or another one, of any length the item has, must meet the bound for its own length and edit budget, and is
+then verified by banded alignment. The longest that passes is kept for each beginning, unless it lies in another region.
+Every document is read whole and once for each block of items; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgrain.llm.units import _kinds, code_points, mix, shingle_sets
+from talkgrain.llm.units import _kinds, code_points, mix, powers, shingle_sets
 
 
 @dataclass(frozen=True)
 class Params:
     """units, least: units and characters of the shortest region; per_edit: one edit is allowed for each so many characters.
 
-    q: a power of two; block: most characters of items sent to the executors at once.
+    block: most characters of items sent to the executors at once (an item longer than that goes alone).
     """
 
     units: int = 12
@@ -35,9 +37,17 @@ class Params:
     q: int = 16
     block: int = 16_000_000
 
-    def budget(self, n: int) -> int:
+    def budget(self, n):
         return n // self.per_edit
 
+    def needed(self, n):
+        """Shared q-grams that a region of n characters within its budget has at least."""
+        return n + 1 - self.q * (1 + self.budget(n))
+
+    def half_band(self, n):
+        """Half the width of the bands for an item of n characters."""
+        return np.maximum(1, self.budget(n)) + 1
+
 
 def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, units joined by spaces, each text begun by a line break; start of each text (end appended)."""
@@ -67,14 +77,14 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def qgrams(chars: np.ndarray, q: int) -> np.ndarray:
-    h = mix(chars.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    w = 1
-    while w < q:
-        if len(h) <= w:
-            return np.empty(0, np.uint64)
-        h = mix(h[:-w] * np.uint64(0xC2B2AE3D27D4EB4F) + h[w:])
-        w *= 2
-    return h
+    """Hashes of all runs of q characters, from sums of powers."""
+    up, down = powers()
+    out, most = [np.empty(0, np.uint64)], len(up) - 1
+    for lo in range(0, max(len(chars) - q + 1, 0), most - q + 1):
+        part = chars[lo : lo + most]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])])
+        out.append(mix((sums[q:] - sums[:-q]) * down[: len(part) - q + 1]))
+    return np.concatenate(out)
 
 
 class Index:
@@ -90,14 +100,16 @@ class Index:
         self.hash, self.pos = h[inside][order], inside[order]
         self.item = np.searchsorted(self.at, self.pos, side="right") - 1
         self.bits = max(20, int(len(self.hash) * 32).bit_length())
-        self.maybe = np.zeros(1 << self.bits, dtype=bool)
-        self.maybe[(self.hash >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        maybe = np.zeros(1 << self.bits, dtype=bool)
+        maybe[(self.hash >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self.maybe = np.packbits(maybe, bitorder="little")
         tok, at = shingle_sets(texts, 12)
         self.twelve = [tok[at[i] : at[i + 1]] for i in range(len(texts))]
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in h, place in the index) of all equal q-grams."""
-        near = np.flatnonzero(self.maybe[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
+        cell = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        near = np.flatnonzero(self.maybe[cell >> 3] >> (cell & 7).astype(np.uint8) & np.uint8(1))
         lo, hi = np.searchsorted(self.hash, h[near], "left"), np.searchsorted(self.hash, h[near], "right")
         n = hi - lo
         near, lo, n = near[n > 0], lo[n > 0], n[n > 0]
@@ -133,31 +145,28 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return most + 1
 
 
-def _edited(x0: np.ndarray, y0: np.ndarray, size: np.ndarray, hits: np.ndarray, a: np.ndarray, b: np.ndarray, spaces: np.ndarray, p: Params) -> list[tuple[int, int, int, int, int]]:
-    """(first and last place in a, in b, edits) of the longest regions with edits between the runs of one document a and one item b.
+def _regions(x0: np.ndarray, y0: np.ndarray, size: np.ndarray, hits: np.ndarray, a: np.ndarray, b: np.ndarray, spaces: np.ndarray, p: Params) -> list[tuple[int, int, int, int, int]]:
+    """(first and last place in a, in b, edits) of the longest verified regions of one band of a document a and an item b.
 
-    x0, y0, size: runs by place in a; hits: places in a of all shared q-grams, sorted; spaces: number of spaces before each place of a.
+    x0, y0, size: runs by place in a; hits: places in a of the q-grams the band shares, sorted; spaces: number of spaces before each place of a.
     """
     x1, y1 = x0 + size, y0 + size
-    upto = np.searchsorted(hits, x1 - p.q, "right")
-    # what lies inside a region that is known needs no search
-    exact = (size >= p.least) & (spaces[x1] - spaces[x0] >= p.units - 1)
-    inside = [(int(x0[k]), int(x1[k]), int(y0[k]), int(y1[k])) for k in np.flatnonzero(exact)]
-    since, before, after = np.searchsorted(hits, x0), spaces[x0], spaces[x1]
-    found = []
+    upto, since, before, after = np.searchsorted(hits, x1 - p.q, "right"), np.searchsorted(hits, x0), spaces[x0], spaces[x1]
+    found: list[tuple[int, int, int, int, int]] = []
 
     def windows(rows: slice) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Of each run that may begin a region: the run, whether each run may end it, edits allowed, shift to each."""
         w, v = x1 - x0[rows, None], y1 - y0[rows, None]
-        most = np.minimum(w, v) // p.per_edit
-        ok = (most >= 1) & (np.minimum(w, v) >= p.least) & (np.abs(w - v) <= most) & (after - before[rows, None] >= p.units - 1)
-        ok &= upto - since[rows, None] >= w + 1 - p.q * (1 + most)
+        n = np.minimum(w, v)
+        most = p.budget(n)
+        ok = (n >= p.least) & (np.abs(w - v) <= most) & (after - before[rows, None] >= p.units - 1)
+        ok &= upto - since[rows, None] >= p.needed(n) + w - n
         for k in np.flatnonzero(ok.any(axis=1)):
             yield rows.start + k, ok[k], most[k], (w - v)[k]
 
     block = max(1, 1_000_000 // len(x0))
     for i, ok, most, shift in (r for lo in range(0, len(x0), block) for r in windows(slice(lo, min(lo + block, len(x0))))):
-        for u0, u1, v0, v1 in inside:
+        for u0, u1, v0, v1, _ in found:  # what lies inside a region that is known needs no alignment
             if u0 <= x0[i] < u1 and v0 <= y0[i] < v1:
                 ok &= (x1 > u1) | (y1 > v1)
         ends = np.flatnonzero(ok)
@@ -167,10 +176,14 @@ def _edited(x0: np.ndarray, y0: np.ndarray, size: np.ndarray, hits: np.ndarray,
         good = np.flatnonzero(edits <= most[ends])
         if len(good):
             k = max(good, key=lambda k: (x1[ends[k]], y1[ends[k]]))
-            j = ends[k]
-            inside.append((int(x0[i]), int(x1[j]), int(y0[i]), int(y1[j])))
-            found.append((*inside[-1], int(edits[k])))
-    return [r for r in found if not any(w != r[:4] and w[0] <= r[0] and r[1] <= w[1] and w[2] <= r[2] and r[3] <= w[3] for w in inside)]
+            found.append((int(x0[i]), int(x1[ends[k]]), int(y0[i]), int(y1[ends[k]]), int(edits[k])))
+    return found
+
+
+def _outermost(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Different regions that lie in no other of the same document and item."""
+    kept = sorted(set(found))
+    return [r for r in kept if not any(w[:4] != r[:4] and w[0] <= r[0] and r[1] <= w[1] and w[2] <= r[2] and r[3] <= w[3] for w in kept)]
 
 
 def prefix_distances(a: np.ndarray, b: np.ndarray, length: np.ndarray, shift: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -207,7 +220,7 @@ def prefix_distances(a: np.ndarray, b: np.ndarray, length: np.ndarray, shift: np
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", p: Params = Params()) -> DataFrame:
     """doc_id, item_id, doc_start, doc_end, item_start, item_end, edits, twelve: every verified region of p.units units or more.
 
-    A region begins and ends with p.q characters without an edit; regions with edits are reported where they lie in no other.
+    A region begins and ends with p.q characters without an edit; regions that lie in another are not reported.
     Places count characters of the canonical text. twelve: the two whole texts share 12 consecutive units. Null and
     empty texts and texts below p.least have no region; repeated items each report theirs. Without items there are no rows.
     """
@@ -252,56 +265,39 @@ def _matches(ids: np.ndarray, texts: list[str], index: Index, p: Params) -> list
     if not len(place):
         return []
     doc = np.searchsorted(at, place, side="right") - 1
-    item, pos = index.item[entry], index.pos[entry]
-    x, y = place - at[doc], pos - index.at[item]
-    key, diagonal = doc.astype(np.int64) * len(index.ids) + item, x - y
+    item = index.item[entry]
+    x, y = place - at[doc], index.pos[entry] - index.at[item]
+    # each hit counts in the two bands that hold its diagonal
+    half = p.half_band(np.diff(index.at))[item]
+    band = (x - y) // half
+    pair = doc.astype(np.int64) * len(index.ids) + item
+    pair, band, x, y = np.tile(pair, 2), np.concatenate([band, band - 1]), np.tile(x, 2), np.tile(y, 2)
+    order = np.lexsort((x, x - y, band, pair))
+    pair, band, x, y = pair[order], band[order], x[order], y[order]
+    first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])]))
+    last = np.append(first[1:], len(pair))
+    enough = last - first >= p.needed(p.least)
     spaces = np.concatenate([[0], np.cumsum(chars == 32)])
-
-    def stretches(order: np.ndarray, group: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
-        """First and last hit of each stretch without a gap, by place in order."""
-        xs = x[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (key[order][1:] != key[order][:-1]) | (group[1:] != group[:-1]) | (np.diff(xs) > gap)
-        first = np.flatnonzero(new)
-        return first, np.append(first[1:], len(order)) - 1
-
-    def long_enough(order: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = x[order[last]] - x[order[first]] + p.q
-        return n, (n >= p.least) & (spaces[place[order[last]] + p.q] - spaces[place[order[first]]] >= p.units - 1)
-
-    found: list[tuple] = []
-    order = np.lexsort((x, diagonal, key))
-    first, last = stretches(order, diagonal[order], 1)
-    n, keep = long_enough(order, first, last)
-    for f, m in zip(order[first[keep]], n[keep]):
-        found.append((doc[f], item[f], x[f], x[f] + m, y[f], y[f] + m, 0))
-    # a region with an edit needs two runs and so many q-grams
-    fewest = max(1, p.per_edit + 1 - 2 * p.q)
-    _, lo = np.unique(key[order[first]], return_index=True)
-    hi = np.append(lo[1:], len(first))
-    several = (hi - lo > 1) & (last[hi - 1] - first[lo] + 1 >= fewest)
-    for l, h in zip(lo[several], hi[several]):
-        hits = np.unique(x[order[first[l] : last[h - 1] + 1]])
-        if len(hits) < fewest:
-            continue
-        own = order[first[l:h]]
-        by = np.argsort(x[own], kind="stable")
-        own, size = own[by], n[l:h][by]
-        d, i = doc[own[0]], item[own[0]]
-        got = _edited(x[own], y[own], size, hits, chars[at[d] : at[d + 1]], index.chars[index.at[i] : index.at[i + 1]], spaces[at[d] : at[d + 1] + 1], p)
-        found += [(d, i, *r) for r in got]
-    twelve: dict[tuple[int, int], bool] = {}
+    found: dict[tuple[int, int], list] = {}
+    for lo, hi in zip(first[enough], last[enough]):
+        d, i = divmod(int(pair[lo]), len(index.ids))
+        u, v = x[lo:hi], y[lo:hi]
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(u) != 1) | (np.diff(v) != 1)]))
+        size = np.append(begin[1:], hi - lo) - begin + p.q - 1
+        by = np.argsort(u[begin], kind="stable")
+        got = _regions(u[begin][by], v[begin][by], size[by], np.unique(u), chars[at[d] : at[d + 1]], index.chars[index.at[i] : index.at[i + 1]], spaces[at[d] : at[d + 1] + 1], p)
+        if got:
+            found.setdefault((d, i), []).extend(got)
     own: dict[int, np.ndarray] = {}
     out = []
-    for d, i, *r in found:
-        if (d, i) not in twelve:
-            if d not in own:
-                own[d] = shingle_sets([texts[d]], 12)[0]
-            twelve[d, i] = bool(len(np.intersect1d(own[d], index.twelve[i], assume_unique=True)))
-        out.append((int(ids[d]), int(index.ids[i]), *map(int, r), twelve[d, i]))
+    for (d, i), regions in found.items():
+        if d not in own:
+            own[d] = shingle_sets([texts[d]], 12)[0]
+        twelve = bool(len(np.intersect1d(own[d], index.twelve[i], assume_unique=True)))
+        out += [(int(ids[d]), int(index.ids[i]), *r, twelve) for r in _outermost(regions)]
     return out
 
 
 def found(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, item_id): documents and items that share 12 consecutive units."""
+    """(doc_id, item_id): documents and items with a verified region; of these, those whose texts share 12 consecutive units."""
     return leaks(docs, items, p=p).where("twelve").select("doc_id", "item_id").distinct()

@@ -13,11 +13,11 @@ from functools import cache
 
 import numpy as np
 
-from talkgrain.llm.units import _BASE, mix
+from talkgrain.llm.units import PLACES, mix, powers
 
 _SPEAKER = re.compile(r"\[\d\d?:\d\d\][^\S\n]*(?:[^:\n]{1,40}:)?")
-#: Characters of one pass; the tables of powers have that many places.
-PASS = 1 << 18
+#: Characters of one pass.
+PASS = PLACES // 2
 # Classes of characters, as bits.
 LETTER, UPPER, CJK, DIGIT, OTHER, SPACE, FULL, END, BAR, CLOSER = (1 << k for k in range(10))
 
@@ -40,20 +40,10 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     return kind, low
 
 
-@cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        x = np.full(2 * PASS, base, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
-
-
 def _word_hashes(chars: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Polynomial hashes of the runs of characters from first to before end."""
-    if len(chars) <= 2 * PASS:
-        up, down = _powers()
+    if len(chars) <= PLACES:
+        up, down = powers()
         sums = np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[: len(chars)])
         return mix((sums[end - 1] - sums[first - 1]) * down[first])
     # a text longer than the tables, in parts between words
@@ -62,13 +52,13 @@ def _word_hashes(chars: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.nd
     for lo, hi in zip(cuts, [*cuts[1:], len(first)]):
         if hi > lo:
             base, stop = first[lo] - 1, end[hi - 1]
-            if stop - base > 2 * PASS:  # a word longer than the tables
+            if stop - base > PLACES:  # a word longer than the tables
                 for k in range(lo, hi):
-                    h = np.uint64(0)
+                    h = np.zeros(1, np.uint64)
                     for at in range(int(first[k]), int(end[k]), PASS):
                         part = chars[at : min(at + PASS, int(end[k]))].astype(np.uint64) + np.uint64(1)
-                        h = mix(np.atleast_1d(h + (part * _powers()[0][: len(part)]).sum()))[0]
-                    out.append(np.array([h], np.uint64))
+                        h = mix(h + (part * powers()[0][: len(part)]).sum(keepdims=True))
+                    out.append(h)
             else:
                 out.append(_word_hashes(chars[base:stop], first[lo:hi] - base, end[lo:hi] - base))
     return np.concatenate(out)

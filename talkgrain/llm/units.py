@@ -39,6 +39,21 @@ def _kinds() -> np.ndarray:
     return kind
 
 
+#: Places of the tables of powers.
+PLACES = 1 << 19
+
+
+@cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of polynomial hashes and of its inverse, modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(PLACES, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
 @cache
 def _powers(n: int) -> np.ndarray:
     out = np.ones(n, dtype=np.uint64)

@@ -118,3 +118,33 @@ def test_regions_against_all_pairs_of_runs(seed):
                 assert any(r[2] <= x and u <= r[3] and r[4] <= y and v <= r[5] for r in got), (x, u, y, v)
     for r in got:
         assert edit_distance(a[r[2] : r[3]], b[r[4] : r[5]]) == r[6] <= max(0, min(r[3] - r[2], r[5] - r[4]) // 60)
+
+
+@pytest.mark.parametrize("words", [40, 80, 160, 400])
+def test_planted_passages_come_out_whole(words):
+    """Items planted with as many random edits as they allow are covered to nine tenths, in nine of ten cases at least."""
+    rng, p, covered = random.Random(words), K.Params(), 0
+    for case in range(40):
+        item = " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(words))
+        t = list(item)
+        for k in rng.sample(range(len(t)), len(t) // 60):
+            t[k] = rng.choice(["", "q", t[k] + "q"])
+        got = K._matches(np.array([1]), ["some words before " + "".join(t) + " and some behind"], K.Index([9], [item], p), p)
+        covered += bool(got) and max(r[5] - r[4] for r in got) >= 0.9 * len(item)
+    assert covered >= 36
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab 搜", max_size=60), st.sampled_from([4, 16]))
+def test_qgrams(text, q):
+    chars = np.array([ord(c) for c in text], np.uint32)
+    h = K.qgrams(chars, q)
+    grams = [text[i : i + q] for i in range(len(text) - q + 1)]
+    assert len(h) == len(grams) and len(set(zip(h.tolist(), grams))) == len(set(grams)) == len(set(h.tolist()))
+
+
+def test_qgrams_of_long_texts():
+    rng = np.random.default_rng(1)
+    part = rng.integers(97, 123, 5000).astype(np.uint32)
+    h = K.qgrams(np.tile(part, 300), 16)
+    assert len(h) == 1_500_000 - 15 and np.array_equal(h[: 5000 * 299 - 15][:5000], h[5000 * 298 : 5000 * 299])
