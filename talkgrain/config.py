@@ -31,6 +31,8 @@ class Frontend:
     private_whitelist: list[int] = field(default_factory=list)
     redis: str = "localhost:6379"
     no_redis: bool = False
+    #: Zone in which times are shown.
+    zone: str = "UTC"
 
     def __post_init__(self) -> None:
         self.private_whitelist = sorted({*self.private_whitelist, self.admin})

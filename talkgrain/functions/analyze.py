@@ -7,7 +7,7 @@ are lower-cased; shorter ones than `least` are dropped. A profile may leave out
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,9 +23,16 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "can", "for", "fr
 
 @dataclass(frozen=True)
 class Profile:
+    """least: characters of a token; stored: tokens are read, not made, and rows have their month (`SearchIndex`).
+
+    segment: an optional segmenter, called with a run of CJK characters in the executors, in place of pairs.
+    """
+
     least: int = 2
     stop_words: bool = False
     stem: bool = False
+    stored: bool = False
+    segment: Callable[[str], list[str]] | None = None
 
 
 PLAIN = Profile()
@@ -66,6 +73,30 @@ def stemmed(df: DataFrame, column: str = "tokens") -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def segmented(df: DataFrame, p: Profile, content: str = "content", column: str = "tokens") -> DataFrame:
+    """df with tokens whose CJK runs are cut by p.segment, by Arrow batch and once for each different run of it."""
+    runs = F.regexp_extract_all(F.regexp_replace(F.lower(content), f"([{CJK}]+)", " $1 "), F.lit(r"[\p{L}\p{N}_]+"), 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(column)
+            known: dict[str, list[str]] = {}
+            out = []
+            for row in b.column(at).to_pylist():
+                words = []
+                for r in row or ():
+                    if r not in known:
+                        known[r] = [w for w in p.segment(r) if w.strip()] if "\u4e00" <= r[0] <= "\u9fff" else [r] * (len(r) >= p.least)
+                    words += known[r]
+                out.append([w for w in words if not (p.stop_words and w in STOP_WORDS)])
+            cols = list(b.columns)
+            cols[at] = pa.array(out, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    rows = df.withColumn(column, runs)
+    return rows.mapInArrow(run, rows.schema)
+
+
 # Porter's algorithm (1980): suffix rules by step, conditions on the measure of what precedes the suffix.
 
 

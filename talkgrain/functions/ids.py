@@ -18,6 +18,11 @@ def share_id(chat_id: Column) -> Column:
     )
 
 
+def share_number(chat_id: int) -> int:
+    """share_id of a number on the driver."""
+    return chat_id if chat_id >= 0 else -chat_id - CHANNEL_OFFSET if chat_id < -CHANNEL_OFFSET else -chat_id
+
+
 def message_url(share: Column, msg_id: Column, host: str = "chat.example") -> Column:
     """Canonical url of a message."""
     return F.concat(F.lit(f"https://{host}/c/"), share.cast("string"), F.lit("/"), msg_id.cast("string"))

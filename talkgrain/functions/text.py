@@ -79,5 +79,23 @@ def csv_to_ids(csv: Column) -> Column:
     return F.when(F.length(csv) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.split(csv, ","), lambda x: x.try_cast("bigint")))
 
 
-def total_pages(total: Column, page_len: int) -> Column:
-    return F.ceil(total / F.lit(page_len)).cast("bigint")
+def keyword_after(c: Column, command: str) -> Column:
+    """What follows a command and one more character, stripped; empty where there is no more."""
+    return strip(F.substr(c, F.lit(len(command) + 2)))
+
+
+def payload(c: Column) -> Column:
+    """Key and value of a button `key=number`; null where it is none."""
+    key, value = F.split_part(c, F.lit("="), F.lit(1)), F.split_part(c, F.lit("="), F.lit(2)).try_cast("bigint")
+    return F.when(key.isin("search_page", "select_chat") & value.isNotNull(), F.struct(key.alias("key"), value.alias("value")))
+
+
+def host_port(c: Column) -> Column:
+    """host and port of `host:port`; null where the port is missing or no number."""
+    parts = F.regexp_extract(c, r"^(.*):(\d+)$", 1), F.regexp_extract(c, r"^(.*):(\d+)$", 2).try_cast("int")
+    return F.when(parts[1].isNotNull(), F.struct(parts[0].alias("host"), parts[1].alias("port")))
+
+
+def local_time(c: Column, zone: str) -> Column:
+    """A time without zone, as kept (UTC), on the clock of a display zone."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), c)

@@ -7,7 +7,9 @@ are dropped, as are changes without a chat. Aggregation only, so that a hot mess
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgrain.functions.ids import message_url, share_id
@@ -16,30 +18,35 @@ from talkgrain.functions.text import extract_text, sender_name
 COLUMNS = ["seq", "op", "chat_id", "msg_id", "sender", "content", "post_time"]
 
 
-def from_messages(incoming: DataFrame) -> DataFrame:
-    """Changes `new` of a raw feed: id, chat_id, raw_text, sent_at, sender struct. Blank texts and rows without a chat are dropped."""
-    rows = incoming.select("seq", F.lit("new").alias("op"), share_id(F.col("chat_id").cast("bigint")).alias("chat_id"), F.col("id").alias("msg_id"), sender_name(F.col("sender")).alias("sender"), extract_text(F.col("raw_text")).alias("content"), F.col("sent_at").alias("post_time"))
+def from_messages(incoming: DataFrame, at: str | None = None) -> DataFrame:
+    """Changes `new` of a raw feed: id, chat_id, raw_text, sent_at, sender struct. Blank texts and rows without a chat are dropped.
+
+    at: a column of the feed that is kept as `at`; so in the other two.
+    """
+    rows = incoming.select(*_at(at), "seq", F.lit("new").alias("op"), share_id(F.col("chat_id").cast("bigint")).alias("chat_id"), F.col("id").alias("msg_id"), sender_name(F.col("sender")).alias("sender"), extract_text(F.col("raw_text")).alias("content"), F.col("sent_at").alias("post_time"))
     return rows.where(F.col("chat_id").isNotNull() & (F.col("chat_id") != 0) & (F.length("content") > 0))
 
 
-def from_edits(edits: DataFrame) -> DataFrame:
-    rows = edits.select("seq", F.lit("edit").alias("op"), share_id(F.col("chat_id").cast("bigint")).alias("chat_id"), F.col("id").alias("msg_id"), F.lit(None).cast("string").alias("sender"), extract_text(F.col("raw_text")).alias("content"), F.lit(None).cast("timestamp_ntz").alias("post_time"))
+def from_edits(edits: DataFrame, at: str | None = None) -> DataFrame:
+    rows = edits.select(*_at(at), "seq", F.lit("edit").alias("op"), share_id(F.col("chat_id").cast("bigint")).alias("chat_id"), F.col("id").alias("msg_id"), F.lit(None).cast("string").alias("sender"), extract_text(F.col("raw_text")).alias("content"), F.lit(None).cast("timestamp_ntz").alias("post_time"))
     return rows.where(F.col("chat_id").isNotNull() & (F.col("chat_id") != 0) & (F.length("content") > 0))
 
 
-def from_deletes(deletes: DataFrame) -> DataFrame:
+def from_deletes(deletes: DataFrame, at: str | None = None) -> DataFrame:
     """One change for each deleted id; deletes without a chat are dropped."""
     rows = deletes.where(F.col("chat_id").isNotNull())
-    return rows.select("seq", F.lit("delete").alias("op"), share_id(F.col("chat_id").cast("bigint")).alias("chat_id"), F.explode(F.array_distinct("deleted_ids")).alias("msg_id"), F.lit(None).cast("string").alias("sender"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("timestamp_ntz").alias("post_time"))
+    return rows.select(*_at(at), "seq", F.lit("delete").alias("op"), share_id(F.col("chat_id").cast("bigint")).alias("chat_id"), F.explode(F.array_distinct("deleted_ids")).alias("msg_id"), F.lit(None).cast("string").alias("sender"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("timestamp_ntz").alias("post_time"))
 
 
-def merged(incoming: DataFrame, edits: DataFrame, deletes: DataFrame) -> DataFrame:
-    """The three feeds as one log ordered by time of event (equal times: new, edit, delete; then the feed's own order)."""
-    def timed(df: DataFrame, at: str, rank: int, make) -> DataFrame:
-        return make(df).join(df.select("seq", F.col(at).alias("at")), "seq").withColumn("rank", F.lit(rank))
+def _at(name: str | None) -> list[Column]:
+    return [F.col(name).alias("at")] if name else []
 
-    all_ = timed(incoming, "arrived_at", 0, from_messages).unionByName(timed(edits, "edited_at", 1, from_edits)).unionByName(timed(deletes, "deleted_at", 2, from_deletes))
-    # 2^41 microseconds of a day's worth of order is not needed: time, kind and feed order fit one decimal
+
+def merged(incoming: DataFrame, edits: DataFrame, deletes: DataFrame) -> DataFrame:
+    """The three feeds as one log whose seq orders by time of event (equal times: new, edit, delete; then the feed's own order)."""
+    feeds = (from_messages(incoming, "arrived_at"), from_edits(edits, "edited_at"), from_deletes(deletes, "deleted_at"))
+    all_ = reduce(DataFrame.unionByName, [df.withColumn("rank", F.lit(k)) for k, df in enumerate(feeds)])
+    # microseconds, one digit of kind and eleven of the feed's order in one decimal
     order = F.unix_micros(F.col("at").cast("timestamp")).cast("decimal(38,0)") * F.lit(10**12).cast("decimal(13,0)") + F.col("rank") * F.lit(10**11).cast("decimal(12,0)") + F.col("seq")
     return all_.withColumn("seq", order.cast("decimal(38,0)")).select(*COLUMNS)
 
@@ -72,3 +79,18 @@ def history(incoming: DataFrame, chat_id: int | None = None, min_id: int | None
     lo, hi = min_id or 1, max_id or 1 << 30
     rows = incoming.where((F.col("id") > lo) & (F.col("id") < hi))
     return fold(from_messages(rows).where(F.lit(True) if chat_id is None else F.col("chat_id") == chat_id))
+
+
+def progress(rows: DataFrame, every: int = 500) -> DataFrame:
+    """chat_id, done, msg_id, remaining: of each chat's download, newest first, every so-many-th row with an estimate of what is left.
+
+    remaining: the id reached less the least one, as ids are counted, not rows.
+    """
+    order = Window.partitionBy("chat_id").orderBy(F.col("msg_id").desc())
+    placed = rows.select("chat_id", "msg_id").distinct().withColumn("done", F.row_number().over(order)).withColumn("least", F.min("msg_id").over(Window.partitionBy("chat_id")))
+    return placed.where(F.col("done") % every == 0).select("chat_id", "done", "msg_id", (F.col("msg_id") - F.col("least")).alias("remaining"))
+
+
+def downloaded(rows: DataFrame) -> DataFrame:
+    """chat_id, rows: how many rows each chat's download brought."""
+    return rows.groupBy("chat_id").agg(F.count("*").alias("rows"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkgrain.functions.ids import share_id, share_number
 from talkgrain.functions.text import brief, chat_label, strip
 
 
@@ -43,33 +47,73 @@ def matching(chats: DataFrame, keyword: str = "", case: bool = True, most: int |
 def resolve(chats: DataFrame, name: str) -> int:
     """Share id for an id or a title as typed."""
     text = name.strip()
-    if text.lstrip("-").isdigit():
-        x = int(text)
-        return x if x >= 0 else -x - 10**12 if x < -(10**12) else -x
+    if re.fullmatch(r"-?\d+", text):
+        return share_number(int(text))
     row = chats.where(F.col("title") == text).agg(F.min("chat_id")).first()
     if row[0] is None:
         raise EntityNotFound(name)
     return row[0]
 
 
+def resolved(names: DataFrame, chats: DataFrame, name: str = "name") -> DataFrame:
+    """names with chat_id: the share id of each id or title as typed (the least of several chats), null where unknown."""
+    text = strip(F.col(name))
+    of_title = chats.groupBy(F.col("title").alias("_title")).agg(F.min("chat_id").alias("_of_title"))
+    typed = F.when(text.rlike(r"^-?\d+$"), share_id(text.try_cast("bigint")))
+    rows = names.withColumn("_text", text).withColumn("_typed", typed)
+    return rows.join(of_title, F.col("_text") == F.col("_title"), "left").withColumn("chat_id", F.coalesce("_typed", "_of_title")).drop("_text", "_typed", "_title", "_of_title")
+
+
 def is_empty(messages: DataFrame, chat_id: int | None = None) -> bool:
     return (messages if chat_id is None else messages.where(F.col("chat_id") == chat_id)).isEmpty()
 
 
-def status(messages: DataFrame, chats: DataFrame, limit: int = 4000) -> DataFrame:
-    """place, chat_id, line: a line a chat with its count and newest message, in order of chat id, while they fit the limit.
+#: Characters kept for the note that chats are missing.
+NOTE = 40
+
 
-    Lengths include the line break. The running length is taken over ranges of chats first, so no task sees all of them.
+def status(messages: DataFrame, chats: DataFrame, limit: int = 4000, excluded: DataFrame | None = None) -> DataFrame:
+    """place, chat_id, line: totals, the excluded chats (chat_id) with their titles, then a line a chat with its count and newest message.
+
+    Lines come in order of chat id while they and a note fit the limit (line breaks included); the note says how many
+    chats are missing. The running length is taken over the first few lines that can fit, so no task sees all chats.
     """
-    n, last = counts(messages), newest(messages)
-    rows = n.join(last, "chat_id").join(chats.select("chat_id", "title"), "chat_id", "left")
+    per = counts(messages).join(newest(messages), "chat_id").join(chats.select("chat_id", "title"), "chat_id", "left")
     line = F.concat(F.coalesce("title", F.lit("?")), F.lit(" ("), F.col("chat_id").cast("string"), F.lit("): "), F.col("n").cast("string"), F.lit(" messages, newest: "), brief(F.coalesce("content", F.lit(""))))
-    rows = rows.select("chat_id", line.alias("line")).withColumn("size", F.length("line") + 1)
-    # each line has at least `shortest` characters, so the report lies within so many first chats
-    shortest = len("? (0): 1 messages, newest: ") + 1
-    head = rows.orderBy("chat_id").limit(limit // shortest + 1)
-    run = Window.orderBy("chat_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return head.select(F.row_number().over(Window.orderBy("chat_id")).alias("place"), "chat_id", "line", F.sum("size").over(run).alias("upto")).where(F.col("upto") <= limit).drop("upto")
+    parts = [_first(per.select(F.lit(2).alias("section"), "chat_id", line.alias("line")), "? (0): 1 messages, newest: ", limit)]
+    of = counts(messages).agg(F.count("*").alias("chats"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    parts.append(of.select(F.lit(0).alias("section"), F.lit(None).cast("bigint").alias("chat_id"), F.concat(F.col("n").cast("string"), F.lit(" messages in "), F.col("chats").cast("string"), F.lit(" chats")).alias("line")))
+    if excluded is not None:
+        out = excluded.select("chat_id").distinct()
+        named = out.join(chats.select("chat_id", "title"), "chat_id", "left").select(F.lit(1).alias("section"), "chat_id", F.concat(F.lit("excluded: "), F.coalesce("title", F.lit("?")), F.lit(" ("), F.col("chat_id").cast("string"), F.lit(")")).alias("line"))
+        parts += [_first(named, "excluded: ? (0)", limit), out.agg(F.count("*").alias("k")).select(F.lit(1).alias("section"), F.lit(None).cast("bigint").alias("chat_id"), F.concat(F.col("k").cast("string"), F.lit(" chats excluded")).alias("line"))]
+    order = Window.orderBy("section", F.col("chat_id").asc_nulls_first())
+    upto = F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shown = reduce(DataFrame.unionByName, parts).select(F.row_number().over(order).alias("place"), "section", "chat_id", "line", upto.alias("upto")).where(F.col("upto") <= limit - NOTE)
+    missing = shown.agg(F.count(F.when(F.col("section") == 2, 1)).alias("shown"), F.max("place").alias("last")).crossJoin(of).where("chats > shown")
+    note = missing.select((F.coalesce("last", F.lit(0)) + 1).alias("place"), F.lit(None).cast("bigint").alias("chat_id"), F.concat(F.lit("and "), (F.col("chats") - F.col("shown")).cast("string"), F.lit(" more chats")).alias("line"))
+    return shown.select("place", "chat_id", "line").unionByName(note)
+
+
+def _first(rows: DataFrame, shortest: str, limit: int) -> DataFrame:
+    """As many rows by chat id as fit a limit of characters if all were the shortest there can be."""
+    return rows.orderBy("chat_id").limit(limit // (len(shortest) + 1) + 1)
+
+
+def joined(lines: DataFrame) -> DataFrame:
+    """text: the lines of a report (place, line; bounded by its limit) as one."""
+    return lines.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def watched(chats: DataFrame, messages: DataFrame, keyword: str = "") -> DataFrame:
+    """matching() of the chats that have messages, which are those watched after a start."""
+    return matching(chats.join(distinct_chats(messages), "chat_id", "left_semi"), keyword)
+
+
+def with_rows(chats: DataFrame, messages: DataFrame) -> DataFrame:
+    """chat_id, has_rows: whether each chat has any message."""
+    has = distinct_chats(messages).withColumn("has_rows", F.lit(True))
+    return chats.select("chat_id").join(has, "chat_id", "left").select("chat_id", F.coalesce("has_rows", F.lit(False)).alias("has_rows"))
 
 
 def random_message(messages: DataFrame, seed: int | None = None) -> DataFrame:

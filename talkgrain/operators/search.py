@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkgrain.functions.analyze import PLAIN, Profile, stemmed, tokens
+from talkgrain.functions.analyze import PLAIN, Profile, segmented, stemmed, tokens
 from talkgrain.functions.ids import message_url, share_id, url_msg, url_share
 from talkgrain.functions.text import escape, unescape
-from talkgrain.plans.compiling import compile_query, needed, words_of
+from talkgrain.plans.compiling import condition, needed, words_of
 from talkgrain.plans.language import And, Or, Phrase, Term, parse
 
 PAGE = 10
@@ -20,19 +20,21 @@ PAGE = 10
 def stored(messages: DataFrame) -> DataFrame:
     """One row of each message as delivered: chat_id (share id), msg_id, url (canonical), sender, content (unescaped), post_time.
 
-    The copy with the latest time is taken, among equals that of the smallest row_id; rows naming no message are left out.
+    The copy with the latest time is taken, among equals that of the smallest row_id (which must be unique); rows naming
+    no message are left out. Copies are found by keys and times alone; texts follow by row_id, once.
     """
     rows = messages.select(
         F.coalesce(url_share(F.col("url")), share_id(F.col("chat_id"))).alias("chat_id"), url_msg(F.col("url")).alias("msg_id"),
-        F.struct(F.col("post_time"), (-F.col("row_id")).alias("r"), F.coalesce("sender", F.lit("")).alias("sender"), unescape(F.coalesce("content", F.lit(""))).alias("content")).alias("m"),
+        "post_time", "row_id", F.coalesce("sender", F.lit("")).alias("sender"), F.coalesce("content", F.lit("")).alias("content"),
     ).where(F.col("msg_id").isNotNull() & F.col("chat_id").isNotNull())
-    best = rows.groupBy("chat_id", "msg_id").agg(F.max("m").alias("m"))
-    return best.select("chat_id", "msg_id", message_url(F.col("chat_id"), F.col("msg_id")).alias("url"), "m.sender", "m.content", "m.post_time")
+    best = rows.groupBy("chat_id", "msg_id").agg((-F.max(F.struct("post_time", (-F.col("row_id")).alias("r")))["r"]).alias("row_id"))
+    kept = rows.join(best.select("row_id"), "row_id", "left_semi")
+    return kept.select("chat_id", "msg_id", message_url(F.col("chat_id"), F.col("msg_id")).alias("url"), "sender", unescape(F.col("content")).alias("content"), "post_time")
 
 
 def indexed(messages: DataFrame, p: Profile = PLAIN) -> DataFrame:
-    """Messages with their tokens; store this and read it, tokenising per query is dear."""
-    rows = messages.withColumn("tokens", tokens(F.col("content"), p))
+    """Messages with their tokens; `sources.index.SearchIndex` keeps them, tokenising per query is dear."""
+    rows = segmented(messages, p) if p.segment else messages.withColumn("tokens", tokens(F.col("content"), p))
     return stemmed(rows) if p.stem else rows
 
 
@@ -41,8 +43,8 @@ def search(index: DataFrame, query: str, chats: Iterable[int] | None = None, p:
     ids = sorted(set(chats or ()))
     rows = index.where(F.col("chat_id").isin(*ids)) if ids else index
     tree = parse(query)
-    first = needed(tree, p)  # spares the tokens of rows without the words
-    return (rows if first is None else rows.where(first)).where(compile_query(tree, p))
+    first = needed(tree, p)  # spares making the tokens of rows without the words
+    return (rows if first is None else rows.where(first)).where(condition(tree, p))
 
 
 def newest_first() -> list[Column]:
@@ -87,11 +89,21 @@ def highlight(c: Column, words: list[str]) -> Column:
     return F.array_join(F.transform(pieces, lambda x: F.when(hit(x), F.concat(F.lit("<b>"), escape(x), F.lit("</b>"))).otherwise(escape(x))), "")
 
 
-def fragment(c: Column, words: list[str], size: int = 200, context: int = 20) -> Column:
-    """Up to `size` characters from `context` before the first word found; the head where none is."""
-    first = reduce(F.least, [F.nullif(F.instr(F.lower(c), w), F.lit(0)) for w in words] + [F.lit(1 << 30)]) if words else F.lit(1)
-    start = F.when(first < (1 << 30), F.greatest(first - context, F.lit(1))).otherwise(F.lit(1))
-    return F.substr(c, start, F.lit(size))
+def fragments(c: Column, words: list[str], size: int = 200, context: int = 20, most: int = 3) -> Column:
+    """HTML of the best pieces of a text, those with most words first: up to `size` characters from `context` before a word, escaped and marked.
+
+    Pieces don't overlap; among equals the earlier comes first. Without words, or where none occurs, the head of the text.
+    """
+    head = highlight(F.substring(c, 1, size), words)
+    if not words:
+        return head
+    word = "(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")"
+    longest = max(map(len, words))
+    pieces = F.regexp_extract_all(c, F.lit(rf"(?is).{{0,{context}}}{word}.{{0,{max(size - context - longest, 0)}}}"), 0)
+    hits = lambda x: F.size(F.regexp_extract_all(x, F.lit(f"(?i){word}"), 0))
+    ranked = F.sort_array(F.transform(pieces, lambda x, i: F.struct((-hits(x)).alias("n"), i.alias("i"), x.alias("t"))))
+    shown = F.transform(F.slice(ranked, 1, most), lambda x: highlight(x["t"], words))
+    return F.when(F.size(pieces) > 0, F.array_join(shown, " … ")).otherwise(head)
 
 
 def with_titles(rows: DataFrame, chats: DataFrame, unknown: str = "[unknown chat]") -> DataFrame:

@@ -17,7 +17,9 @@ def words_of(text: str, p: Profile = PLAIN) -> list[str]:
     """What analyze.tokens makes of a text, on the driver, for queries."""
     out = []
     for run in re.findall(r"[一-鿿]+|[^\W一-鿿]+", text.lower()):
-        if "一" <= run[0] <= "鿿":
+        if "一" <= run[0] <= "鿿" and p.segment:
+            out += [w for w in p.segment(run) if w.strip()]
+        elif "一" <= run[0] <= "鿿":
             out += [run[i : i + 2] for i in range(len(run) - 1)] or [run]
         elif len(run) >= p.least:
             out.append(run)
@@ -57,9 +59,14 @@ def compile_query(node, p: Profile = PLAIN) -> Column:
     return F.coalesce(_compile(node, p), F.lit(False))
 
 
+def condition(node, p: Profile = PLAIN) -> Column:
+    """As compile_query, but null where nothing is known: for a filter, which can send its parts on to the scan."""
+    return _compile(node, p)
+
+
 def needed(node, p: Profile = PLAIN) -> Column | None:
     """A cheap condition on content that every match meets: its words occur in it. None where there is none."""
-    if p.stem or isinstance(node, Not):
+    if p.stem or p.stored or isinstance(node, Not):
         return None
     if isinstance(node, (And, Or)):
         parts = [needed(x, p) for x in node.parts]
@@ -85,9 +92,9 @@ def _compile(node, p: Profile) -> Column:
     if isinstance(node, Every):
         return F.lit(True) if not node.field else F.length(F.col(node.field).cast("string")) > 0
     if isinstance(node, Range):
-        return _range(node)
+        return _range(node, p)
     if node.field in ("url", "chat_id", "post_time"):
-        return _plain(node)
+        return _plain(node, p)
     have = F.col("tokens") if node.field == "content" else sender_tokens(F.col("sender"))
     own = p if node.field == "content" else Profile()
     if isinstance(node, Wildcard):
@@ -120,7 +127,7 @@ def _near(have: Column, words: list[str], slop: int) -> Column:
     return F.size(reduce(after, words[1:], F.filter(places, lambda i: F.try_element_at(have, i) == words[0]))) > 0
 
 
-def _plain(node) -> Column:
+def _plain(node, p: Profile) -> Column:
     c = F.col(node.field)
     text = node.pattern if isinstance(node, Wildcard) else node.text
     if isinstance(node, Wildcard):
@@ -130,15 +137,26 @@ def _plain(node) -> Column:
     if node.field == "chat_id":
         return c == F.lit(text).try_cast("bigint")
     span = period(text)
-    return (c >= F.lit(span[0]).cast("timestamp_ntz")) & (c < F.lit(span[1]).cast("timestamp_ntz")) if span else F.lit(False)
+    return _months(p, *span) & (c >= F.lit(span[0]).cast("timestamp_ntz")) & (c < F.lit(span[1]).cast("timestamp_ntz")) if span else F.lit(False)
+
+
+def _months(p: Profile, lo: datetime | None, hi: datetime | None) -> Column:
+    """What a span of time says of the month, by which stored rows lie in folders; true for rows that aren't stored."""
+    out = F.lit(True)
+    if p.stored and lo:
+        out = out & (F.col("month") >= f"{lo:%Y-%m}")
+    if p.stored and hi:
+        out = out & (F.col("month") <= f"{hi:%Y-%m}")
+    return out
 
 
-def _range(node: Range) -> Column:
+def _range(node: Range, p: Profile) -> Column:
     c, out = F.col(node.field), F.lit(True)
     if node.field == "post_time":
         lo, hi = period(node.lo or ""), period(node.hi or "")
         if (node.lo and not lo) or (node.hi and not hi):
             return F.lit(False)
+        out = out & _months(p, lo and lo[0], hi and hi[1])
         if lo:
             out = out & (c >= F.lit(lo[0] if node.with_lo else lo[1]).cast("timestamp_ntz"))
         if hi:

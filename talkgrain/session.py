@@ -1,16 +1,30 @@
-"""Session defaults and tables that survive the loss of an executor."""
+"""Session defaults, tables that survive the loss of an executor, and the package on the executors."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+#: Tables written by `durable`, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+class NoSharedFolder(RuntimeError):
+    """The session runs on a cluster and names no folder that all executors share."""
+
 
 def local_session(cores: int | str = 8, app: str = "talkgrain", **conf: str) -> SparkSession:
-    """A local session with the settings the engine expects (UTC, adaptive execution)."""
+    """A local session with the settings the engine expects (UTC, adaptive execution); Python workers find the package."""
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     base = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -25,20 +39,48 @@ def local_session(cores: int | str = 8, app: str = "talkgrain", **conf: str) ->
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors of a cluster that hasn't got it installed."""
+    at = os.path.join(tempfile.mkdtemp(prefix="talkgrain-"), "talkgrain.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, files in os.walk(os.path.join(ROOT, "talkgrain")):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, ROOT))
+    spark.sparkContext.addPyFile(at)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one of a local session; NoSharedFolder on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), "talkgrain-shared")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise NoSharedFolder(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        root = tempfile.mkdtemp(prefix="talkgrain-shared-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables `durable` wrote in this application, once no query needs them; their number."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        at = hadoop(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

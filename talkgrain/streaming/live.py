@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,13 +23,15 @@ def follow(stream: DataFrame, store: MessageStore, checkpoint: str, watched: Cal
     """Append a stream of changes to the store, a commit a batch. watched() is read anew for each batch.
 
     A batch that is run again after a failure appends the same changes again; the fold gives the same messages.
+    progress: told the batch and its rows, which are counted while they are written.
     """
 
     def take(batch: DataFrame, number: int) -> None:
         rows = batch if watched is None else monitored(batch, watched(), exclude)
-        store.append(rows)
+        seen = Observation(f"batch-{number}")
+        store.append(rows.observe(seen, F.count(F.lit(1)).alias("rows")))
         if progress:
-            progress(number, rows.count())
+            progress(number, seen.get["rows"])
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -86,6 +86,45 @@ def test_only_affected_partitions(spark, tmp_path):
     assert sorted((r["msg"], r["row_id"]) for r in store.read().collect()) == [(1, 1), (2, 4), (3, 3)]
 
 
+def test_two_writers_lose_no_upsert(spark, tmp_path):
+    one, two = (deliveries.DeliveryStore(spark, str(tmp_path / "s"), bucket=2, segments=2) for _ in range(2))
+    one.upsert(deliveries.keyed(deliver(spark, [(i, 0, f"https://h/c/1/{i}", T0) for i in range(1, 9)])))
+    made, other = one._combined, []
+
+    def slow(new, found):
+        if not other:  # the other writer commits between this one's reading and its commit
+            other.append(two.upsert(deliveries.keyed(deliver(spark, [(20, 3, "https://h/c/1/2", T0 + dt.timedelta(1)), (21, 3, "https://h/c/1/21", T0)]))))
+        return made(new, found)
+
+    one._combined = slow
+    one.upsert(deliveries.keyed(deliver(spark, [(30, 4, "https://h/c/1/2", T0 + dt.timedelta(2)), (31, 4, "https://h/c/1/31", T0)])))
+    kept = {r["msg"]: r["row_id"] for r in one.read().collect()}
+    assert kept == {**{i: i for i in range(1, 9)}, 2: 30, 21: 21, 31: 31}
+
+
+def test_lookups_read_the_buckets_of_their_identifiers(spark, tmp_path):
+    store = deliveries.DeliveryStore(spark, str(tmp_path / "s"), bucket=10, segments=3)
+    read = []
+    for n in (200, 800):
+        store.upsert(deliveries.keyed(deliver(spark, [(n * 10 + i, 0, f"https://h/c/{n}/{i}", T0) for i in range(n)])))
+        ids = deliveries.winners(deliveries.keyed(deliver(spark, [(9, 0, "https://h/c/200/5", T0), (10, 0, "https://h/c/7/7", T0)])))
+        read.append(store.lookup(ids, store.manifest()["index"]).count())
+    assert max(read) <= 120 and len(store.manifest()["index"]) == 2  # not in proportion to the store
+    for k in range(3):
+        store.upsert(deliveries.keyed(deliver(spark, [(90_000 + k, 0, f"https://h/c/9/{k}", T0)])))
+    assert len(store.manifest()["index"]) <= 3
+    assert store.lookup(ids, store.manifest()["index"]).where("share = 200 AND msg = 5").count() == 1
+
+
+def test_appends_of_two_writers_stay(spark, tmp_path):
+    one, two = (MessageStore(spark, str(tmp_path / "m")) for _ in range(2))
+    one.append(frame(spark, [(1, "new", 7, 1, "a", "x", T0)]))
+    read = one.log()
+    two.append(frame(spark, [(2, "new", 7, 2, "a", "y", T0)]))
+    one._replace(one._folders()[:1], read)  # a compaction of what was there before
+    assert sorted(r["msg_id"] for r in two.live().collect()) == [1, 2]
+
+
 @pytest.fixture
 def store(spark, tmp_path):
     return MessageStore(spark, str(tmp_path / "store"))
@@ -145,7 +184,7 @@ def test_frontdesk(spark, store):
     assert desk.handle("/nonsense").text.startswith("Unknown") and desk.handle("/searchfoo x").text.startswith("Unknown")
     assert desk.handle("/start") is None and desk.handle(" ") is None
     assert desk.handle("/random").rows.count() == 1
-    assert len(desk.handle("/stat", sender=1).rows.collect()) == 1
+    assert [r["chat_id"] for r in desk.handle("/stat", sender=1).rows.collect()] == [None, 7]
     assert desk.handle("/clear", sender=1).text.startswith("Usage")
     desk.handle("/clear Alpha", sender=1)
     assert store.count() == 0
@@ -179,7 +218,12 @@ def test_status_limit(spark):
     m = spark.createDataFrame(rows, "chat_id long, msg_id long, url string, sender string, content string, post_time timestamp_ntz")
     titles = spark.createDataFrame([(1, "T")], "chat_id long, title string")
     lines = chat_list.status(m, titles, 1000).orderBy("place").collect()
-    assert sum(len(r["line"]) + 1 for r in lines) <= 1000 and [r["chat_id"] for r in lines] == list(range(len(lines)))
+    assert sum(len(r["line"]) + 1 for r in lines) <= 1000 and [r["chat_id"] for r in lines] == [None, *range(len(lines) - 2), None]
+    assert lines[0]["line"] == "500 messages in 500 chats" and lines[-1]["line"] == f"and {500 - len(lines) + 2} more chats"
+    gone = spark.createDataFrame([(1,), (3,), (3,)], "chat_id long")
+    few = chat_list.status(m.where("chat_id < 2"), titles, 1000, gone).orderBy("place").collect()
+    assert [r["line"] for r in few][1:4] == ["2 chats excluded", "excluded: T (1)", "excluded: ? (3)"] and [r["chat_id"] for r in few] == [None, None, 1, 3, 0, 1]
+    assert [r["line"] for r in chat_list.status(m.limit(0), titles, 1000).collect()] == ["0 messages in 0 chats"]
     assert chat_list.resolve(titles, " T ") == 1 and chat_list.resolve(titles, "-1000000000007") == 7
     with pytest.raises(chat_list.EntityNotFound):
         chat_list.resolve(titles, "none")
@@ -192,3 +236,76 @@ def test_all_arrivals_count_late_messages(spark):
     rows = [("new", 1, "2024-03-09 10:00:00"), ("new", 1, "2024-01-01 10:00:00"), ("new", 1, "2024-03-09 11:00:00"), ("edit", 1, "2024-03-09 12:00:00")]
     got = all_arrivals(spark.createDataFrame(rows, "op string, chat_id long, post_time string")).collect()
     assert sorted((str(r["window"]["start"])[:10], r["chat_id"], r["n"]) for r in got) == [("2024-01-01", 1, 1), ("2024-03-09", 1, 2)]
+
+
+def test_commands_by_feed(spark, tmp_path):
+    feeds = {"incoming": feed(spark, 9), "dialogs": spark.createDataFrame([(7, "Alpha & co"), (8, "Beta")], "id long, name string")}
+    said = []
+    store = MessageStore(spark, str(tmp_path / "d"), from_scratch=True)
+    desk = Frontdesk(store, chat_list.titles(feeds["dialogs"].limit(0)), config.Frontend("f", "b", admin=1, no_redis=True, zone="Europe/Berlin"), backend=config.Backend("b", True, [-1000000000008]), feeds=feeds.get, username="grain", log=said.append)
+    assert desk.handle("/refresh_chat_names", sender=1).text.startswith("Chat names") and desk.chats.count() == 2
+    assert desk.handle("/download_chat", sender=1).text.startswith("Usage")
+    import talkgrain.commands as commands
+
+    commands.PROGRESS, kept = 4, commands.PROGRESS
+    try:
+        assert desk.handle("/download_chat --min 1 7", sender=1).text == "Downloaded 8 messages"
+    finally:
+        commands.PROGRESS = kept
+    assert said == ["7: 4 messages, about 4 left", "7: 8 messages, about 0 left"]
+    assert "has messages" in desk.handle("/download_chat 7", sender=1).text
+    assert desk.handle("ferry", sender=5, group=True) is None and desk.handle("@grain ferry", sender=5, group=True) is not None
+    html = desk.handle("ferry", sender=5).rows.first()["html"]
+    assert "[2024-01-01 10:00:00]" in html and "<b>ferry</b>" in html  # an hour on from the time kept
+    rows, exclude = desk.taken()
+    assert exclude and [r[0] for r in rows.collect()] == [8]
+    assert [r["line"] for r in desk.handle("/stat", sender=1).rows.collect()][:3] == ["8 messages in 1 chats", "1 chats excluded", "excluded: Beta (8)"]
+    assert "Alpha &amp; co</a>" in desk.handle("/find_chat_id alpha", sender=1).rows.first()["html"]
+    from talkgrain.commands import labels
+
+    assert sorted(map(tuple, labels(desk.chats).collect()))[0] == (7, "Alpha & co (7)", "select_chat=7")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from talkgrain.__main__ import desks, parser
+
+    a = parser().parse_args(["-c", "-f", "x.json", "--debug"])
+    assert a.clear and a.config == "x.json" and a.debug
+    (tmp_path / "c.yaml").write_text(json.dumps({"root": str(tmp_path / "root"), "backends": [{"id": "b"}], "frontends": [{"id": "f", "backend": "b", "admin": 1, "no_redis": True}]}))
+    conf = config.load(str(tmp_path / "c.yaml"))
+    desk = desks(spark, conf)["f"]
+    desk.store.append(frame(spark, [(1, "new", 7, 1, "a", "x", T0)]))
+    assert desks(spark, conf)["f"].store.count() == 1 and desks(spark, conf, clear=True)["f"].store.count() == 0
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from talkgrain import session
+
+    class Conf:
+        get = staticmethod(lambda k, d: None)
+
+    class Cluster:
+        conf = Conf
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+
+    with pytest.raises(session.NoSharedFolder):
+        session.shared_dir(Cluster)
+
+
+def test_index_prunes(spark, tmp_path):
+    from talkgrain.sources.index import SearchIndex
+
+    rows = [(c, m, f"u{c}/{m}", "Ann", "ferry to 搜索引擎" if m % 2 else "night trains", T0 + dt.timedelta(days=20 * m)) for c in (1, 2) for m in range(6)]
+    index = SearchIndex(spark, str(tmp_path / "i"))
+    assert not index.exists()
+    index.write(spark.createDataFrame([*rows, (3, 1, "u", "", "ferry", None)], "chat_id long, msg_id long, url string, sender string, content string, post_time timestamp_ntz"))
+    index.vacuum()
+    assert index.search("ferry").count() == 7 and index.search("搜索").count() == 6
+    got = index.search("ferry AND post_time:[20240101 TO 202402]", [1])
+    assert sorted(r["msg_id"] for r in got.collect()) == [1]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PartitionFilters: [isnotnull(month" in plan and "EqualTo(chat_id,1)" in plan.replace("In(chat_id, [1])", "EqualTo(chat_id,1)")
