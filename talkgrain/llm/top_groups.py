@@ -55,9 +55,9 @@ def top_n(df: DataFrame, group: str, score: str, ties: list[Column], n: int, sha
         ends = state.where((F.col("_got") > n) & (F.col("_had") < n)).select(F.col(group).alias("_g"), (n - F.col("_had")).alias("_left"))
         joined = here.join(ends, here[group].eqNullSafe(F.col("_g")), "left")
         whole_groups = joined.where(F.col("_left").isNull())
-        ranked = here.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rank") <= n)
-        boundary = ranked.join(ends, ranked[group].eqNullSafe(F.col("_g"))).where(F.col("_rank") <= F.col("_left"))
-        taken += [whole_groups.select(*cols), boundary.select(*cols)]
+        # only groups that end in the band are ranked
+        ranked = joined.where(F.col("_left").isNotNull()).withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rank") <= n)
+        taken += [whole_groups.select(*cols), ranked.where(F.col("_rank") <= F.col("_left")).select(*cols)]
     return reduce(DataFrame.unionByName, taken)
 
 
@@ -73,4 +73,5 @@ def newest_messages(messages: DataFrame, n: int = 5) -> DataFrame:
     rows = messages.select(share_id(F.col("chat_id")).alias("chat_id"), url_share(F.col("url")).alias("share"), url_msg(F.col("url")).alias("msg_id"), F.col("post_time"))
     rows = rows.where(F.col("post_time").isNotNull() & F.col("msg_id").isNotNull())
     once = rows.groupBy(F.coalesce("share", "chat_id").alias("chat_id"), "msg_id").agg(F.max("post_time").alias("post_time"))
-    return top_n(once, "chat_id", "post_time", [F.col("msg_id")], n).select("chat_id", "msg_id")
+    # read for the edges of the bands and for the bands
+    return top_n(durable(once, "messages-once"), "chat_id", "post_time", [F.col("msg_id")], n).select("chat_id", "msg_id")
