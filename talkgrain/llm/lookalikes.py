@@ -1,8 +1,10 @@
 """One consistent form of text that looks the same but is written with different characters.
 
 Each Arrow partition runs one DuckDB statement: nfc_normalize composes separate marks, translate maps full-width
-letters and digits, spaces and look-alike letters, regular expressions drop invisible characters and open characters
-that stand for several letters. The same statement says which kinds of difference a text had.
+letters and digits, spaces, look-alike letters and all other compatibility forms of one letter, digit or symbol
+(mathematical, circled, half-width, superscript), regular expressions drop invisible characters and open characters that
+stand for several. The same statement says which kinds of difference a text had; compatibility forms other than
+full-width and of several Latin letters are mapped but are no kind.
 
 Null stays null and an empty text stays empty. Joiners between emoji stay, as do full-width punctuation and words of
 one script. In a word that mixes scripts, look-alikes are mapped to Cyrillic where it has a letter only Cyrillic has,
@@ -50,6 +52,33 @@ def several() -> dict[str, str]:
     return out
 
 
+@cache
+def compatible() -> tuple[dict[str, str], dict[str, str]]:
+    """Other compatibility forms of letters, digits and symbols: of one character, and of several. Punctuation and spaces stay.
+
+    So do the number sign and what `narrow` and `several` map.
+    """
+    one, many, known = {}, {}, several()
+    for c in (*range(0xA0, 0xD800), *range(0xF900, 0x32000)):
+        ch = chr(c)
+        form = unicodedata.normalize("NFKC", ch)
+        if form == unicodedata.normalize("NFC", ch) or ch in known or c == 0x2116 or 0xFF01 <= c <= 0xFF5E or unicodedata.category(ch)[0] not in "LNSM" or " " in form:
+            continue
+        (one if len(form) == 1 else many)[ch] = form
+    return one, many
+
+
+def _class(chars: dict[str, str]) -> str:
+    """A class of a regular expression of these characters, as ranges."""
+    points, out = sorted(map(ord, chars)), []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out) + "]"
+
+
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -80,13 +109,29 @@ def _macros() -> list[str]:
     ]
 
 
+def _compatible_macro(present: set[str]) -> str:
+    """compatible(s) for the compatibility forms that occur in a batch: translated or opened, then composed."""
+    one, many = ({c: forms[c] for c in sorted(present) if c in forms} for forms in compatible())
+    mapped = f"translate(s, {_quote(''.join(one))}, {_quote(''.join(one.values()))})" if one else "s"
+    for c, form in many.items():
+        mapped = f"replace({mapped}, {_quote(c)}, {_quote(form)})"
+    return f"CREATE OR REPLACE MACRO compatible(s) AS {f'nfc_normalize({mapped})' if present else 's'}"
+
+
+def _present(fields: int) -> str:
+    """The different compatibility forms of a batch."""
+    one, many = compatible()
+    found = " UNION ALL ".join(f"SELECT unnest(regexp_extract_all(t{k}, '{_class(one | many)}')) AS c FROM batch WHERE regexp_matches(t{k}, '{_class(one | many)}')" for k in range(fields))
+    return f"SELECT DISTINCT c FROM ({found})"
+
+
 def _statement(fields: list[str], ids: list[str]) -> str:
     ascii_only = r"'[^\x00-\x08\x0E-\x7F]|[\t\n\r]'"
     steps = []
     for k, _ in enumerate(fields):
         steps.append((
             f"regexp_matches(t{k}, {ascii_only}) AS x{k}, CASE WHEN x{k} THEN held(t{k}) ELSE t{k} END AS h{k}, CASE WHEN x{k} THEN seen(h{k}) ELSE t{k} END AS v{k}, CASE WHEN x{k} THEN spelled(narrow(spaced(nfc_normalize(v{k})))) ELSE t{k} END AS n{k}",
-            f"CASE WHEN x{k} THEN replace(unmixed(n{k}), '{_KEPT}', '‍') ELSE t{k} END AS o{k}, "
+            f"CASE WHEN x{k} THEN replace(unmixed(compatible(n{k})), '{_KEPT}', '‍') ELSE t{k} END AS o{k}, "
             rf"CASE WHEN NOT x{k} THEN 0 ELSE regexp_matches(t{k}, '[\x{{FF10}}-\x{{FF19}}\x{{FF21}}-\x{{FF3A}}\x{{FF41}}-\x{{FF5A}}]')::INT + 2 * regexp_matches(v{k}, '\p{{L}}\p{{M}}')::INT + 4 * (h{k} <> v{k})::INT"
             rf" + 8 * regexp_matches(t{k}, '[{SPACES}]')::INT + 16 * regexp_matches(v{k}, '[{''.join(several())}]')::INT + 32 * is_mixed(n{k})::INT END AS k{k}",
         ))
@@ -99,7 +144,7 @@ def normalize(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """The id column, each field in its consistent form, and <field>_kinds: the sum of the KINDS it had (null: null text)."""
     src = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("string").alias(f"t{k}") for k, c in enumerate(fields)])
     schema = T.StructType([src.schema["id"], *[f for k in range(len(fields)) for f in (T.StructField(f"o{k}", T.StringType()), T.StructField(f"k{k}", T.IntegerType()))]])
-    macros, statement = _macros(), _statement(fields, ["id"])
+    macros, statement, present = _macros(), _statement(fields, ["id"]), _present(len(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
@@ -108,6 +153,7 @@ def normalize(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
                 con.execute(m)
             for b in batches:
                 con.register("batch", pa.Table.from_batches([b]))
+                con.execute(_compatible_macro({c for (c,) in con.execute(present).fetchall()}))
                 out = con.sql(statement).to_arrow_table()
                 con.unregister("batch")
                 cols = [out.column(f.name).combine_chunks().cast(b.schema.field("id").type if f.name == "id" else pa.string() if f.name[0] == "o" else pa.int32()) for f in schema.fields]

@@ -23,3 +23,26 @@ def test_cases(spark):
 def test_long_text(spark):
     df = spark.createDataFrame([(1, "ａ" * 500_000)], "row_id long, content string")
     assert la.normalize(df, "row_id", ["content"]).first()["content"] == "a" * 500_000
+
+
+FORMS = {"𝐇𝐞𝐥𝐥𝐨 ⓗⓘ": "Hello hi", "ﾊﾝ ﾊﾞ": "ハン バ", "x² and ½": "x2 and 1⁄2", "①②": "12", "⼀字": "一字", "㍿": "株式会社", "№ 5 … “ok”": "№ 5 … “ok”", "５＋５": "5＋5"}
+
+
+def test_compatibility_forms(spark):
+    df = spark.createDataFrame(list(enumerate(FORMS)), "row_id long, content string")
+    got = {r["row_id"]: r["content"] for r in la.normalize(df, "row_id", ["content"]).collect()}
+    assert [got[i] for i in range(len(FORMS))] == list(FORMS.values())
+
+
+def test_letters_as_unicode_maps_them(spark):
+    """Every letter, digit and symbol with a compatibility form comes out as NFKC gives it, alone and in a batch with all others."""
+    import unicodedata
+
+    one, many = la.compatible()
+    chars = sorted({*one, *many})
+    assert len(chars) > 3000
+    df = spark.createDataFrame([(i, f"- {c} -") for i, c in enumerate(chars)], "row_id long, content string")
+    got = {r["row_id"]: r["content"] for r in la.normalize(df, "row_id", ["content"]).collect()}
+    wrong = [(c, got[i]) for i, c in enumerate(chars) if got[i] != unicodedata.normalize("NFC", "- " + unicodedata.normalize("NFKC", c) + " -") and unicodedata.normalize("NFKC", got[i]) != unicodedata.normalize("NFKC", f"- {c} -")]
+    assert not wrong
+    assert la.normalize(df, "row_id", ["content"]).where("content_kinds > 0").count() <= 40  # mostly no kind of problem 5
