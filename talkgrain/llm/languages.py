@@ -1,9 +1,11 @@
 """Language of each text and of each stretch in another language, by error-correcting output codes.
 
-Each language has a codeword; one binary classifier a bit is fitted on character trigrams (single characters of CJK).
+Each language has a codeword; one binary classifier a bit is fitted on character trigrams (single characters of CJK) and
+on the script a sentence is written in, which is a feature like the others: codewords decide for every language.
 A sentence gets the language whose codeword loses least against the classifiers' margins, each bit's loss weighted by
 how well its classifier did on held-out sentences. The gap to the next codeword gives the confidence; a small gap marks
-the sentence as ambiguous, and it then takes the language of the rest of its text.
+the sentence as ambiguous, and it then takes the language of the rest of its text. Texts and stretches without any
+sentence that isn't are flagged.
 
 The classifiers are fitted on a bounded sample of labelled rows (`Params.sample`), taken by hash of the id. Labels may
 be wrong: sentences the first fit contradicts are left out of the second.
@@ -120,26 +122,33 @@ def features(parts: list[str], log_features: int) -> tuple[np.ndarray, np.ndarra
     return index[: at[-1]], at, letters, cjk, cyrillic
 
 
-def margins(index: np.ndarray, at: np.ndarray, letters: np.ndarray, weights: np.ndarray) -> np.ndarray:
+#: Scripts: neither, CJK or Cyrillic in a quarter of the letters or more.
+SCRIPTS = 3
+
+
+def script_of(letters: np.ndarray, cjk: np.ndarray, cyrillic: np.ndarray) -> np.ndarray:
+    return np.where((cjk > 0) & (cjk * 4 >= letters), 1, np.where((cyrillic > 0) & (cyrillic * 4 >= letters), 2, 0))
+
+
+def margins(index: np.ndarray, at: np.ndarray, letters: np.ndarray, weights: np.ndarray, kind: np.ndarray, scripts: np.ndarray) -> np.ndarray:
     if len(at) < 2:
         return np.zeros((0, weights.shape[1]), np.float32)
-    return np.add.reduceat(weights[index], at[:-1], axis=0) / np.sqrt(np.maximum(letters, 1))[:, None]
+    return np.add.reduceat(weights[index], at[:-1], axis=0) / np.sqrt(np.maximum(letters, 1))[:, None] + scripts[kind]
 
 
 @dataclass
 class Model:
-    """weights: (trigram, bit), the last row zeros; trust: weight of each bit."""
+    """weights: (trigram, bit), the last row zeros; scripts: (script, bit); trust: weight of each bit."""
 
     weights: np.ndarray
+    scripts: np.ndarray
     trust: np.ndarray
     p: Params
 
-    def decode(self, z: np.ndarray, ruled_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest codeword by weighted logistic loss, its confidence, and the gap to the next. ruled_out: (sentence, language)."""
+    def decode(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest codeword by weighted logistic loss, its confidence, and the gap to the next."""
         code = codewords(self.p.bits)
         loss = np.einsum("b,scb->sc", self.trust, np.logaddexp(0, -z[:, None, :] * code[None, :, :]))
-        if ruled_out is not None:
-            loss += 50.0 * ruled_out
         order = np.sort(loss, axis=1)
         odds = np.exp(-(loss - order[:, :1]) * 2)
         return loss.argmin(axis=1), 1 / odds.sum(axis=1), order[:, 1] - order[:, 0]
@@ -151,7 +160,8 @@ def fit(texts: list[str], labels: list[str], p: Params) -> Model:
         for s in sentences(plain(t)):
             parts.append(s)
             y.append(LANGUAGES.index(lab))
-    index, at, letters, _, _ = features(parts, p.log_features)
+    index, at, letters, cjk, cyrillic = features(parts, p.log_features)
+    kind = script_of(letters, cjk, cyrillic)
     y = np.array(y, dtype=np.int64)
     size, code = (1 << p.log_features) + 1, codewords(p.bits)
     use = letters >= 8
@@ -163,23 +173,28 @@ def fit(texts: list[str], labels: list[str], p: Params) -> Model:
     norm = 1 / np.sqrt(np.maximum(letters, 1))
     weights = np.zeros((size, p.bits), np.float32)
     seen = np.full((size, p.bits), 1e-2, np.float32)
+    scripts, seen_scripts = np.zeros((SCRIPTS, p.bits), np.float32), np.full((SCRIPTS, p.bits), 1e-2, np.float32)
     for step in range(36):
-        z = margins(index, at, letters, weights)
+        z = margins(index, at, letters, weights, kind, scripts)
         if step == 20:  # leave out what the first fit contradicts
-            got = Model(weights, np.ones(p.bits) / p.bits, p).decode(z)[0]
+            got = Model(weights, scripts, np.ones(p.bits) / p.bits, p).decode(z)[0]
             train &= got == y
             held &= got == y
         target = code[y]
-        pull = target / (1 + np.exp(np.clip(z * target, -30, 30))) * (balance * train * norm)[:, None]
+        whole = target / (1 + np.exp(np.clip(z * target, -30, 30))) * (balance * train)[:, None]
+        pull = whole * norm[:, None]
         grad = np.stack([np.bincount(index, weights=pull[row, b], minlength=size) for b in range(p.bits)], axis=1).astype(np.float32)
         grad -= 1e-3 * weights
         grad[-1] = 0
         seen += grad * grad
         weights += 2.0 * grad / np.sqrt(seen)
-    z = margins(index, at, letters, weights)
+        grad = np.stack([np.bincount(kind, weights=whole[:, b], minlength=SCRIPTS) for b in range(p.bits)], axis=1).astype(np.float32) - 1e-3 * scripts
+        seen_scripts += grad * grad
+        scripts += 2.0 * grad / np.sqrt(seen_scripts)
+    z = margins(index, at, letters, weights, kind, scripts)
     right = ((z * code[y] > 0) & held[:, None]).sum(axis=0) / max(1, held.sum())
     trust = np.maximum(right - 0.5, 0.05)
-    return Model(weights, trust / trust.sum() * 3, p)
+    return Model(weights, scripts, trust / trust.sum() * 3, p)
 
 
 def label_code(label: Column) -> Column:
@@ -201,16 +216,17 @@ def train(df: DataFrame, id_col: str, text: str, label: str, p: Params) -> Model
 
 
 def assign(df: DataFrame, id_col: str, text: str, model: Model) -> DataFrame:
-    """id, letters, lang, confidence, segments (lang, confidence, text): each text's language, and its stretches in order.
+    """id, letters, lang, confidence, ambiguous, segments (lang, confidence, ambiguous, text): each text's language, and its stretches in order.
 
-    Neighbouring sentences of one language form a stretch. lang is that of most letters. Null, empty and letterless
-    texts get a null language and no stretches; texts of any length are read whole.
+    Neighbouring sentences of one language form a stretch. lang is that of most letters. ambiguous: no sentence of the
+    text's language, or of the stretch, is long and clear enough to tell. Null, empty and letterless texts get a null
+    language and no stretches; texts of any length are read whole.
     """
     p, sent = model.p, df.sparkSession.sparkContext.broadcast(model)
     src = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, letters int, lang string, confidence double, segments array<struct<lang:string,confidence:double,text:string>>"
-    seg = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("text", pa.string())]))
+    schema = f"id {kind}, letters int, lang string, confidence double, ambiguous boolean, segments array<struct<lang:string,confidence:double,ambiguous:boolean,text:string>>"
+    seg = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("ambiguous", pa.bool_()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -233,36 +249,26 @@ def assign(df: DataFrame, id_col: str, text: str, model: Model) -> DataFrame:
                 for k in np.flatnonzero(n < p.least_letters):
                     n[k] = sum(map(str.isalpha, texts[k])) if texts[k] else 0
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(n, pa.int32()), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], seg)],
-                    names=["id", "letters", "lang", "confidence", "segments"],
+                    [b.column(0), pa.array(n, pa.int32()), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_()), pa.array([o[3] for o in out], seg)],
+                    names=["id", "letters", "lang", "confidence", "ambiguous", "segments"],
                 )
 
     return src.mapInArrow(run, schema)
 
 
-def _other_scripts(letters: np.ndarray, cjk: np.ndarray, cyrillic: np.ndarray) -> np.ndarray:
-    """Languages a sentence can't be in: those whose script it lacks, and all others where a quarter of it is in that script."""
-    out = np.zeros((len(letters), len(LANGUAGES)), dtype=bool)
-    for lang, n in (("zh", cjk), ("ru", cyrillic)):
-        k = LANGUAGES.index(lang)
-        out[:, k] |= n == 0
-        out[(n * 4 >= letters) & (n > 0)] |= np.arange(len(LANGUAGES)) != k
-    return out
-
-
 def _decide(parts: list[str], m: Model) -> tuple[np.ndarray, ...]:
     if not parts:
         zero = np.zeros(0, np.int64)
         return zero, zero, zero, zero, zero
     index, at, letters, cjk, cyrillic = features(parts, m.p.log_features)
-    which, conf, gap = m.decode(margins(index, at, letters, m.weights), _other_scripts(letters, cjk, cyrillic))
+    which, conf, gap = m.decode(margins(index, at, letters, m.weights, script_of(letters, cjk, cyrillic), m.scripts))
     return which, conf, gap, letters, cjk
 
 
-def _stretches(parts: list[str], which: np.ndarray, conf: np.ndarray, strong: np.ndarray, weight: np.ndarray) -> tuple[str | None, float | None, list[dict]]:
-    """Language and confidence of a text and its stretches; weak sentences join the stretch before them, else the main language."""
+def _stretches(parts: list[str], which: np.ndarray, conf: np.ndarray, strong: np.ndarray, weight: np.ndarray) -> tuple[str | None, float | None, bool | None, list[dict]]:
+    """Language, confidence and ambiguity of a text and its stretches; weak sentences join the stretch before them, else the main language."""
     if not len(parts) or not weight.sum():
-        return None, None, []
+        return None, None, None, []
     votes = np.bincount(which, weights=weight * conf * (1 + 4 * strong), minlength=len(LANGUAGES))
     main = int(votes.argmax())
     runs: list[list] = []
@@ -276,9 +282,9 @@ def _stretches(parts: list[str], which: np.ndarray, conf: np.ndarray, strong: np
     for lang, ks in runs:
         own = [k for k in ks if which[k] == lang]
         c = float(np.average(conf[own], weights=weight[own] + 1e-9)) if own else 0.0
-        segments.append({"lang": LANGUAGES[lang], "confidence": c, "text": " ".join(parts[k].strip() for k in ks)})
+        segments.append({"lang": LANGUAGES[lang], "confidence": c, "ambiguous": not any(strong[k] for k in own), "text": " ".join(parts[k].strip() for k in ks)})
     same = which == main
-    return LANGUAGES[main], float((conf * weight * same).sum() / weight.sum()), segments
+    return LANGUAGES[main], float((conf * weight * same).sum() / weight.sum()), not (strong & same).any(), segments
 
 
 def message_languages(messages: DataFrame, p: Params = Params()) -> DataFrame:
@@ -286,7 +292,7 @@ def message_languages(messages: DataFrame, p: Params = Params()) -> DataFrame:
     model = train(messages, "row_id", "content", "lang", p)
     src = messages.select("row_id", "content", label_code(F.col("lang")).alias("label"), F.col("lang").alias("raw"))
     got = assign(src.select(F.struct("row_id", F.coalesce("label", F.lit("")).alias("label")).alias("key"), "content"), "key", "content", model)
-    return got.select(F.col("id.row_id").alias("row_id"), F.nullif(F.col("id.label"), F.lit("")).alias("label"), "letters", "lang", "confidence", "segments")
+    return got.select(F.col("id.row_id").alias("row_id"), F.nullif(F.col("id.label"), F.lit("")).alias("label"), "letters", "lang", "confidence", "ambiguous", "segments")
 
 
 def found(messages: DataFrame, p: Params = Params()) -> DataFrame:

@@ -271,21 +271,29 @@ def _matches(ids: np.ndarray, texts: list[str], index: Index, p: Params) -> list
     half = p.half_band(np.diff(index.at))[item]
     band = (x - y) // half
     pair = doc.astype(np.int64) * len(index.ids) + item
-    pair, band, x, y = np.tile(pair, 2), np.concatenate([band, band - 1]), np.tile(x, 2), np.tile(y, 2)
+    pair, band, x, y, place = np.tile(pair, 2), np.concatenate([band, band - 1]), np.tile(x, 2), np.tile(y, 2), np.tile(place, 2)
     order = np.lexsort((x, x - y, band, pair))
-    pair, band, x, y = pair[order], band[order], x[order], y[order]
-    first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])]))
+    pair, band, x, y, place = pair[order], band[order], x[order], y[order], place[order]
+    new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])])
+    first = np.flatnonzero(new)
     last = np.append(first[1:], len(pair))
-    enough = last - first >= p.needed(p.least)
+    # runs of hits on one diagonal, of all bands
+    begin = np.flatnonzero(new | np.concatenate([[True], (np.diff(x) != 1) | (np.diff(y) != 1)]))
+    end = np.append(begin[1:], len(pair)) - 1
     spaces = np.concatenate([[0], np.cumsum(chars == 32)])
+    size = end - begin + p.q
+    whole = (size >= p.least) & (spaces[place[end] + p.q] - spaces[place[begin]] >= p.units - 1)
+    of = np.searchsorted(first, begin, side="right") - 1
+    # below per_edit characters no edit is allowed and a region is one run; from there on it shares so many q-grams
+    enough = (np.bincount(of, weights=whole, minlength=len(first)) > 0) | ((last - first >= p.needed(p.per_edit)) & (np.bincount(of, minlength=len(first)) > 1))
     found: dict[tuple[int, int], list] = {}
-    for lo, hi in zip(first[enough], last[enough]):
-        d, i = divmod(int(pair[lo]), len(index.ids))
-        u, v = x[lo:hi], y[lo:hi]
-        begin = np.flatnonzero(np.concatenate([[True], (np.diff(u) != 1) | (np.diff(v) != 1)]))
-        size = np.append(begin[1:], hi - lo) - begin + p.q - 1
-        by = np.argsort(u[begin], kind="stable")
-        got = _regions(u[begin][by], v[begin][by], size[by], np.unique(u), chars[at[d] : at[d + 1]], index.chars[index.at[i] : index.at[i + 1]], spaces[at[d] : at[d + 1] + 1], p)
+    lo_run = np.searchsorted(begin, first)
+    hi_run = np.append(lo_run[1:], len(begin))
+    for k in np.flatnonzero(enough):
+        d, i = divmod(int(pair[first[k]]), len(index.ids))
+        own = begin[lo_run[k] : hi_run[k]]
+        by = np.argsort(x[own], kind="stable")
+        got = _regions(x[own][by], y[own][by], size[lo_run[k] : hi_run[k]][by], np.unique(x[first[k] : last[k]]), chars[at[d] : at[d + 1]], index.chars[index.at[i] : index.at[i + 1]], spaces[at[d] : at[d + 1] + 1], p)
         if got:
             found.setdefault((d, i), []).extend(got)
     own: dict[int, np.ndarray] = {}

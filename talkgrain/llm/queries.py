@@ -34,10 +34,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language and confidence of every message and of each stretch of it."""
+    """Language, confidence and ambiguity of every message and of each stretch of it."""
     rows = languages.message_languages(read_table(spark, sf_dir, "messages"))
-    return rows.select("row_id", "label", "lang", "confidence", F.posexplode_outer("segments").alias("place", "segment")).select(
-        "row_id", "label", "lang", "confidence", "place", F.col("segment.lang").alias("segment_lang"), F.col("segment.confidence").alias("segment_confidence"), F.col("segment.text").alias("segment_text"))
+    return rows.select("row_id", "label", "lang", "confidence", "ambiguous", F.posexplode_outer("segments").alias("place", "segment")).select(
+        "row_id", "label", "lang", "confidence", "ambiguous", "place", F.col("segment.lang").alias("segment_lang"), F.col("segment.confidence").alias("segment_confidence"), F.col("segment.ambiguous").alias("segment_ambiguous"), F.col("segment.text").alias("segment_text"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ def test_assign(spark, model):
     assert [got[i]["lang"] for i in range(len(want))] == want
     assert [s["lang"] for s in got[100]["segments"]] == ["en", "ru", "zh"]
     assert all(got[i]["lang"] is None and got[i]["segments"] == [] for i in (101, 102, 103))
+    assert got[101]["ambiguous"] is None and not got[104]["ambiguous"] and not any(s["ambiguous"] for s in got[100]["segments"])
     assert got[104]["lang"] == "de" and 0 < got[104]["confidence"] <= 1
 
 
@@ -51,3 +52,24 @@ def test_held_out(messages):
 
 def test_found_on_empty(messages):
     assert L.found(messages.limit(0)).collect() == []
+
+
+def test_ambiguous(spark, model):
+    rows = [(1, "ok la"), (2, "Die Gruppe möchte die Karten erst später ansehen. Ok!"), (3, "no de la en")]
+    got = {r["id"]: r for r in L.assign(spark.createDataFrame(rows, "row_id long, content string"), "row_id", "content", model).collect()}
+    assert got[1]["ambiguous"] and got[3]["ambiguous"] and not got[2]["ambiguous"]
+    assert [s["ambiguous"] for s in got[1]["segments"]] == [True] and [s["ambiguous"] for s in got[2]["segments"]] == [False]
+
+
+def test_codewords_decide_for_every_script(model):
+    """Each language's sentences are nearest to its own codeword without any rule about scripts."""
+    for lang, texts in TEXTS.items():
+        which, conf, gap, _, _ = L._decide(texts, model)
+        assert [L.LANGUAGES[i] for i in which] == [lang] * len(texts) and (gap > 0).all()
+
+
+def test_found_is_as_defined(messages):
+    got = L.found(messages)
+    assert got.schema.simpleString() == "struct<row_id:bigint,lang:string>"
+    rows = got.collect()
+    assert {r["lang"] for r in rows} == set(L.LANGUAGES) and len(rows) == len(set(rows))
