@@ -147,11 +147,25 @@ _SHAPES: list[tuple[re.Pattern, str, float, object]] = [(re.compile(p + r"\Z"),
     (r"\d{3}[.\-]\d{3}[.\-]\d{4}", "phone", 0.6, None),
     (r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", "idnum", 0.1, lambda s: luhn(re.sub(r"\D", "", s))),
 )]
-_NEAR = {
-    "phone": re.compile(r"(?i)call|text|phone|number|tel\b|mobile|reach|whatsapp|☎|📞|ruft|nummer|anruf|erreich|handy|appelez|numéro|joindre|llám|número|teléf|звон|номер|телефон|电话|号码|手机|致电"),
-    "idnum": re.compile(r"(?i)passport|national id|identity|social|tax|ssn|\bid\b|ausweis|steuer|pièce|identité|sécu|pasaporte|identidad|\bdni\b|\bnie\b|паспорт|удостовер|инн|снилс|身份证|证件|护照|\bno\."),
+# Words beside a number that speak for or against its being personal, by language.
+_NEAR_WORDS = {
+    "phone": {
+        "en": r"call|text|phone|number|tel\b|mobile|reach|whatsapp|☎|📞", "de": "ruft|nummer|anruf|erreich|handy", "fr": "appelez|numéro|joindre",
+        "es": "llám|número|teléf", "ru": "звон|номер|телефон", "zh": "电话|号码|手机|致电",
+    },
+    "idnum": {
+        "en": r"passport|national id|identity|social|tax|ssn|\bid\b|\bno\.", "de": "ausweis|steuer", "fr": "pièce|identité|sécu",
+        "es": r"pasaporte|identidad|\bdni\b|\bnie\b", "ru": "паспорт|удостовер|инн|снилс", "zh": "身份证|证件|护照",
+    },
 }
-_AGAINST = re.compile(r"(?i)ticket|parcel code|\blog\b|order|version|invoice|siehe|protokoll|sendung|voir|journal|colis (?:n|code)|le code|aviso|registro|código|\bver\b|заявк|журнал|посылк[аи] (?:n|код)|код|工单|日志|单号|see\s*$")
+_NEAR = {kind: re.compile("(?i)" + "|".join(words.values())) for kind, words in _NEAR_WORDS.items()}
+#: Tickets, orders, parcels, bills, versions, logs and references have numbers too.
+_AGAINST_WORDS = {
+    "en": r"ticket|order|parcel code|tracking|invoice|version|\blog\b|reference|see\s*$", "de": "auftrag|bestell|sendung|rechnung|protokoll|vorgang|siehe",
+    "fr": "commande|colis (?:n|code)|le code|facture|journal|dossier|voir", "es": r"aviso|pedido|código|factura|registro|expediente|\bver\b",
+    "ru": "заявк|заказ|посылк[аи] (?:n|код)|код|накладн|журнал", "zh": "工单|订单|单号|发票|日志|版本",
+}
+_AGAINST = re.compile("(?i)" + "|".join(_AGAINST_WORDS.values()))
 _DATE = re.compile(r"(?:19|20)\d\d[-./]\d\d?[-./]\d\d?\Z|\d\d?[-./]\d\d?[-./](?:19|20)?\d\d\Z|\d+[/]\d+\Z|v[\d.]+\Z")
 
 _STREET = re.compile(
@@ -166,7 +180,8 @@ _STREET_LEFT = re.compile(
 _STREET_HINTS = (" st", " road", " rd", " lane", " ln", " ave", " drive", " close", " court", " terrace", " boulevard", " blvd", " square", " gardens", " crescent", "rue ", "av. ", "chemin ", "bd ", "place ", "impasse ", "allée ", "quai ", "route ", "cours ")
 _LEFT_HINTS = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "damm", "ufer", "ring", "graben", "hof", "kamp", "bruch", "calle ", "avda.", "avenida", "av.", "plaza ", "paseo ", "camino ", "ronda ", "c/")
 _STREET_DE = re.compile(r"\b(?i:am|an der|an den|im|in der|auf dem|auf der|zum|zur|unter den) [A-ZÄÖÜ][\wäöüß]+ \d{1,4}[a-z]?\b(?! (?i:minuten|stunden|mal|tage|uhr|weitere|andere))")
-_HOME_DE = ("wohne", "paket", "adresse", "anschrift", "liefer")
+#: Words beside a German place that make it somebody's address.
+_HOME_DE = ("wohn", "gezogen", "ziehe", "paket", "adresse", "anschrift", "liefer", "zuhause", "zu hause")
 _STREET_RU = re.compile(r"(?i:\bул\.|\bулица|\bпр-т|\bпроспект|\bпр\.|\bпер\.|\bпереулок|\bпл\.|\bплощадь|\bшоссе|\bнаб\.) ?(?:[А-ЯЁа-яё-]+,? ){0,4}?[А-ЯЁа-яё-]+,? (?i:д\. ?|дом )?\d{1,4}(?:,? (?i:кв\.|корп\.) ?\d+)?"
                         r"|[А-ЯЁ][а-яёА-ЯЁ-]+(?: [А-ЯЁ][а-яёА-ЯЁ-]+)? (?i:ул\.|улица|пер\.|пр\.|проспект),? (?i:д\. ?|дом )?\d{1,4}(?:,? (?i:кв\.|корп\.) ?\d+)?")
 _RU_HINTS = ("ул", "пр", "пер", "пл", "шоссе", "наб")

@@ -82,3 +82,37 @@ def test_found_in_messages(messages):
     seen = {(r["field"], r["kind"]) for r in got.collect()}
     assert {f for f, _ in seen} == {"content", "sender"} and {k for _, k in seen} <= set(P.KINDS)
     assert {("content", k) for k in P.KINDS} <= seen and ("sender", "phone") in seen and ("sender", "name") not in seen
+
+
+def planted(rng):
+    """(kind, text): personal data of random values in carrier sentences that were not used to write the patterns."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)).capitalize()
+    first, last = rng.choice(["Anna", "Boris", "Clara"]), rng.choice(["Lindberg", "Sandberg", "Holmberg"])
+    china = digits(17)
+    nir = rng.choice("12") + digits(12)
+    dni = digits(8)
+    value = {
+        "email": rng.choice([f"{word().lower()}.{word().lower()}@{word().lower()}.example", f"{word().lower()}_{digits(2)} [at] {word().lower()}.example", f"{word().lower()}+x@mail.{word().lower()}.example"]),
+        "phone": rng.choice([f"+44 20 {digits(4)} {digits(4)}", f"+49 30 {digits(7)}", f"+7 (9{digits(2)}) {digits(3)}-{digits(2)}-{digits(2)}", f"({digits(3)}) 555-{digits(4)}"]),
+        "idnum": rng.choice([china + next(c for c in "0123456789X" if P.mod11_china(china + c)), f"{nir}{97 - int(nir) % 97:02d}", dni + "TRWAGMYFPDXBNJZSQVHLCKE"[int(dni) % 23]]),
+        "address": rng.choice([f"{rng.randint(1, 400)} {word()} Street", f"{word()}straße {rng.randint(1, 90)}", f"{rng.randint(1, 90)} rue de {word()}", f"ул. Лесная, д. {rng.randint(1, 90)}", f"长安大街{rng.randint(1, 900)}号"]),
+        "name": f"{first} {last}",
+    }
+    around = ["We met last week; {} was on the form, I think.", "Bitte notieren: {} – danke!", "Merci de garder {} pour demain.", "Apunta esto: {}, por favor.", "Запишите, пожалуйста: {} и всё.", "（{}）记一下"]
+    kind = rng.choice(P.KINDS)
+    return kind, rng.choice(around).format(value[kind])
+
+
+def test_recall_of_each_kind_on_planted_values(finder):
+    import random
+    from collections import Counter
+
+    rng, seen, right = random.Random(8), Counter(), Counter()
+    for _ in range(3000):
+        kind, text = planted(rng)
+        seen[kind] += 1
+        right[kind] += kind in {s[0] for s in finder.spans(text)}
+    shares = {k: right[k] / seen[k] for k in P.KINDS}
+    print(shares)
+    assert min(shares.values()) >= 0.9, shares
