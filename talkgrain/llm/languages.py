@@ -226,7 +226,6 @@ def assign(df: DataFrame, id_col: str, text: str, model: Model) -> DataFrame:
     src = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     schema = f"id {kind}, letters int, lang string, confidence double, ambiguous boolean, segments array<struct<lang:string,confidence:double,ambiguous:boolean,text:string>>"
-    seg = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("ambiguous", pa.bool_()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -238,20 +237,13 @@ def assign(df: DataFrame, id_col: str, text: str, model: Model) -> DataFrame:
                 parts = [s for x in split for s in x]
                 which, conf, gap, letters, cjk = _decide(parts, m)
                 strong = (gap >= p.gap) & ((letters >= p.sentence_letters) | (cjk * 3 >= p.sentence_letters))
-                out, i = [], 0
-                for x in split:
-                    j = i + len(x)
-                    out.append(_stretches(x, which[i:j], conf[i:j], strong[i:j], letters[i:j] + 2 * cjk[i:j]))
-                    i = j
-                n = np.add.reduceat(np.append(letters, 0), np.minimum(np.cumsum([0, *map(len, split)])[:-1], len(letters))) if parts else np.zeros(len(split), np.int64)
-                n = np.where([bool(x) for x in split], n, 0)
+                row = np.repeat(np.arange(len(split)), [len(x) for x in split])
+                n = np.bincount(row, weights=letters, minlength=len(split)).astype(np.int64)
                 # links and tags count as letters too where that may decide
                 for k in np.flatnonzero(n < p.least_letters):
                     n[k] = sum(map(str.isalpha, texts[k])) if texts[k] else 0
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(n, pa.int32()), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_()), pa.array([o[3] for o in out], seg)],
-                    names=["id", "letters", "lang", "confidence", "ambiguous", "segments"],
-                )
+                lang, sure, vague, ends, segments = _stretches(parts, row, len(split), which, conf, strong, letters + 2 * cjk)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), lang, sure, vague, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), segments)], names=["id", "letters", "lang", "confidence", "ambiguous", "segments"])
 
     return src.mapInArrow(run, schema)
 
@@ -265,26 +257,35 @@ def _decide(parts: list[str], m: Model) -> tuple[np.ndarray, ...]:
     return which, conf, gap, letters, cjk
 
 
-def _stretches(parts: list[str], which: np.ndarray, conf: np.ndarray, strong: np.ndarray, weight: np.ndarray) -> tuple[str | None, float | None, bool | None, list[dict]]:
-    """Language, confidence and ambiguity of a text and its stretches; weak sentences join the stretch before them, else the main language."""
-    if not len(parts) or not weight.sum():
-        return None, None, None, []
-    votes = np.bincount(which, weights=weight * conf * (1 + 4 * strong), minlength=len(LANGUAGES))
-    main = int(votes.argmax())
-    runs: list[list] = []
-    for k, s in enumerate(parts):
-        lang = int(which[k]) if strong[k] else (runs[-1][0] if runs else main)
-        if runs and runs[-1][0] == lang:
-            runs[-1][1].append(k)
-        else:
-            runs.append([lang, [k]])
-    segments = []
-    for lang, ks in runs:
-        own = [k for k in ks if which[k] == lang]
-        c = float(np.average(conf[own], weights=weight[own] + 1e-9)) if own else 0.0
-        segments.append({"lang": LANGUAGES[lang], "confidence": c, "ambiguous": not any(strong[k] for k in own), "text": " ".join(parts[k].strip() for k in ks)})
-    same = which == main
-    return LANGUAGES[main], float((conf * weight * same).sum() / weight.sum()), not (strong & same).any(), segments
+def _stretches(parts: list[str], row: np.ndarray, rows: int, which: np.ndarray, conf: np.ndarray, strong: np.ndarray, weight: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray, pa.StructArray]:
+    """Of the texts of a batch: language, confidence and ambiguity, end of each text's stretches, and all stretches.
+
+    row: the text of each sentence. Weak sentences join the stretch before them, else take the main language of the text.
+    """
+    k = len(LANGUAGES)
+    total = np.bincount(row, weights=weight, minlength=rows)
+    votes = np.bincount(row * k + which, weights=weight * conf * (1 + 4 * strong), minlength=rows * k).reshape(rows, k)
+    main, none = votes.argmax(axis=1), total == 0
+    same = which == main[row]
+    sure = np.bincount(row, weights=conf * weight * same, minlength=rows) / np.maximum(total, 1e-9)
+    vague = np.bincount(row, weights=strong & same, minlength=rows) == 0
+    names = pa.array(LANGUAGES)
+    lang, sure, vague = (pa.array(x, mask=none) for x in (main, sure, vague))
+    lang = names.take(lang)
+    # the latest strong sentence of the same text decides
+    own = np.flatnonzero(~none[row])
+    row, which, conf, strong, weight = row[own], which[own], conf[own], strong[own], weight[own].astype(np.float64) + 1e-9
+    last = np.maximum.accumulate(np.where(strong, np.arange(len(own)), -1)) if len(own) else own
+    told = np.where((last >= 0) & (row[np.maximum(last, 0)] == row), which[np.maximum(last, 0)], main[row]) if len(own) else own
+    first = np.flatnonzero(np.concatenate([[True], (told[1:] != told[:-1]) | (row[1:] != row[:-1])])) if len(own) else own
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(own))))
+    mine = which == told
+    share = np.bincount(of, weights=conf * weight * mine, minlength=len(first)) / np.maximum(np.bincount(of, weights=weight * mine, minlength=len(first)), 1e-12)
+    clear = np.bincount(of, weights=strong & mine, minlength=len(first)) > 0
+    stop = np.append(first[1:], len(own))
+    texts = [" ".join([parts[j].strip() for j in own[lo:hi]]) for lo, hi in zip(first, stop)]
+    segments = pa.StructArray.from_arrays([names.take(pa.array(told[first])), pa.array(share), pa.array(~clear), pa.array(texts, pa.string())], names=["lang", "confidence", "ambiguous", "text"])
+    return lang, sure, vague, np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=rows))]), segments
 
 
 def message_languages(messages: DataFrame, p: Params = Params()) -> DataFrame:
