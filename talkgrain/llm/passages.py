@@ -13,7 +13,7 @@ from functools import cache
 
 import numpy as np
 
-from talkgrain.llm.units import PLACES, mix, powers
+from talkgrain.llm.units import PLACES, mix, run_hashes
 
 _SPEAKER = re.compile(r"\[\d\d?:\d\d\][^\S\n]*(?:[^:\n]{1,40}:)?")
 #: Characters of one pass.
@@ -40,30 +40,6 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     return kind, low
 
 
-def _word_hashes(chars: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of the runs of characters from first to before end."""
-    if len(chars) <= PLACES:
-        up, down = powers()
-        sums = np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[: len(chars)])
-        return mix((sums[end - 1] - sums[first - 1]) * down[first])
-    # a text longer than the tables, in parts between words
-    cuts = np.searchsorted(first, np.arange(0, len(chars), PASS))
-    out = [np.empty(0, np.uint64)]
-    for lo, hi in zip(cuts, [*cuts[1:], len(first)]):
-        if hi > lo:
-            base, stop = first[lo] - 1, end[hi - 1]
-            if stop - base > PLACES:  # a word longer than the tables
-                for k in range(lo, hi):
-                    h = np.zeros(1, np.uint64)
-                    for at in range(int(first[k]), int(end[k]), PASS):
-                        part = chars[at : min(at + PASS, int(end[k]))].astype(np.uint64) + np.uint64(1)
-                        h = mix(h + (part * powers()[0][: len(part)]).sum(keepdims=True))
-                    out.append(h)
-            else:
-                out.append(_word_hashes(chars[base:stop], first[lo:hi] - base, end[lo:hi] - base))
-    return np.concatenate(out)
-
-
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Terms in order of sentence, the number of each sentence's terms, the text of each sentence, and each text's sentences.
 
@@ -92,7 +68,7 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     digits = np.flatnonzero((kind & DIGIT) > 0)
     plain = np.searchsorted(digits, first) == np.searchsorted(digits, last)
     pair = np.flatnonzero(cjk[:-1] & cjk[1:])
-    words = _word_hashes(low[raw], first, last)[plain] if len(first) else np.empty(0, np.uint64)
+    words = run_hashes(low[raw], first, last)[plain] if len(first) else np.empty(0, np.uint64)
     pairs = mix(raw[pair].astype(np.uint64) << np.uint64(32) | raw[pair + 1].astype(np.uint64))
     terms = (np.concatenate([words, pairs]) >> np.uint64(32)).astype(np.uint32)
     piece = np.searchsorted(stops, np.concatenate([first[plain], pair]))

@@ -54,11 +54,29 @@ def powers() -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-@cache
-def _powers(n: int) -> np.ndarray:
-    out = np.ones(n, dtype=np.uint64)
-    out[1:] = np.uint64(_BASE)
-    return np.multiply.accumulate(out)
+def run_hashes(chars: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the runs of characters from first to before end, in order and apart from each other."""
+    up, down = powers()
+    if len(chars) <= PLACES:
+        sums = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[: len(chars)], out=sums[1:])
+        return mix((sums[end] - sums[first]) * down[first])
+    # more characters than the tables have places: in parts between runs
+    cuts = np.searchsorted(first, np.arange(0, len(chars), PLACES // 2))
+    out = [np.empty(0, np.uint64)]
+    for lo, hi in zip(cuts, [*cuts[1:], len(first)]):
+        if hi <= lo:
+            continue
+        if end[hi - 1] - first[lo] <= PLACES:
+            out.append(run_hashes(chars[first[lo] : end[hi - 1]], first[lo:hi] - first[lo], end[lo:hi] - first[lo]))
+            continue
+        for k in range(lo, hi):  # one of them is longer than the tables
+            h = np.zeros(1, np.uint64)
+            for at in range(int(first[k]), int(end[k]), PLACES):
+                part = chars[at : min(at + PLACES, int(end[k]))].astype(np.uint64) + np.uint64(1)
+                h = mix(h + (part * up[: len(part)]).sum(keepdims=True))
+            out.append(h)
+    return np.concatenate(out)
 
 
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,31 +90,19 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def unit_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all units of all texts in order, and the number of each text's first among them (end appended)."""
-    return unit_table(texts)[:2]
-
-
-def unit_table(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """unit_hashes, and of each unit whether it is a CJK character and whether it holds a digit."""
-    none = np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64), np.empty(0, bool), np.empty(0, bool)
     if not texts:
-        return none
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
     chars, at = code_points(texts)
     kind = _kinds()[chars]
-    begins = kind == 2
-    word = kind == 1
-    begins[0] |= word[0]
-    begins[1:] |= word[1:] & ~word[:-1]
-    start = np.flatnonzero(begins)
-    if not len(start):
-        return none
-    inside = np.flatnonzero(kind)
-    which = np.cumsum(begins)[inside] - 1
-    place = inside - start[which]
-    values = (chars[inside].astype(np.uint64) + np.uint64(1)) * _powers(1 << int(place.max() + 1).bit_length())[place]
-    first = np.searchsorted(inside, start)
-    hashes = mix(np.add.reduceat(values, first))
-    numeric = np.maximum.reduceat((chars[inside] >= 48) & (chars[inside] <= 57), first)
-    return hashes, np.searchsorted(start, at), kind[start] == 2, numeric
+    # every text ends in a line break, so that runs of letters and digits begin and end in pairs
+    edges = np.flatnonzero(np.diff((kind == 1).view(np.int8), prepend=0))
+    first, end = edges[0::2], edges[1::2]
+    alone = np.flatnonzero(kind == 2)
+    if len(alone):
+        first, end = np.concatenate([first, alone]), np.concatenate([end, alone + 1])
+        order = np.argsort(first, kind="stable")
+        first, end = first[order], end[order]
+    return run_hashes(chars, first, end), np.searchsorted(first, at)
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
