@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from talkgrain.operators import changes, deliveries, gates
 from talkgrain.operators import chats as chat_list
 from talkgrain.operators import search as searching
 from talkgrain.schema import CHANGES
-from talkgrain.session import read_table, shared_dir
+from talkgrain.session import read_table, scratch
 from talkgrain.sources.index import SearchIndex
 from talkgrain.sources.store import MessageStore
 from talkgrain.streaming import live
@@ -48,12 +47,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY share, msg, CASE WHEN share IS N
 
 @query(f"WITH {_WINNERS} SELECT row_id FROM r WHERE rn > 1")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deliveries.dropped(read_table(spark, sf_dir, "messages"), f"{shared_dir(spark)}/deliveries-{uuid.uuid4().hex}")
+    return deliveries.dropped(read_table(spark, sf_dir, "messages"), scratch(spark, "deliveries"))
 
 
 @query(f"WITH {_WINNERS} SELECT share, msg, row_id, post_time FROM r WHERE rn = 1")
 def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = deliveries.kept(read_table(spark, sf_dir, "messages"), f"{shared_dir(spark)}/deliveries-{uuid.uuid4().hex}")
+    rows = deliveries.kept(read_table(spark, sf_dir, "messages"), scratch(spark, "deliveries"))
     return rows.select("share", "msg", "row_id", "post_time")
 
 
@@ -76,7 +75,7 @@ _CHATS = r"c AS (SELECT id AS chat_id, min(t) AS title FROM (SELECT id, regexp_r
 def search_index(spark: SparkSession, sf_dir: str, p: Profile = PLAIN) -> SearchIndex:
     """The index of the messages of a folder, written by the first query of an application that needs it, as ingest would."""
     name = hashlib.md5(f"{spark.sparkContext.applicationId} {sf_dir} {p}".encode()).hexdigest()
-    found = SearchIndex(spark, f"{shared_dir(spark)}/search-{name}", p)
+    found = SearchIndex(spark, scratch(spark, f"search-{name}", unique=False), p)
     if not found.exists():
         found.write(searching.stored(read_table(spark, sf_dir, "messages")))
     return found
@@ -497,7 +496,7 @@ def _feeds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 def message_store(spark: SparkSession, sf_dir: str) -> MessageStore:
     """A new store that took each feed as a bulk of its own."""
-    store = MessageStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", from_scratch=True)
+    store = MessageStore(spark, scratch(spark, "store"), from_scratch=True)
     for df in _feeds(spark, sf_dir):
         store.append(df)
     return store
@@ -548,7 +547,7 @@ def store_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT chat_id, msg_id, sender, content, post_time FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, msg_id ORDER BY seq DESC) AS rn FROM ({_NEW}) WHERE msg_id > 1 AND msg_id < 1073741824 AND chat_id = 1300000417) WHERE rn = 1")
 def store_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chat's history taken into an empty store."""
-    store = MessageStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", from_scratch=True)
+    store = MessageStore(spark, scratch(spark, "store"), from_scratch=True)
     store.backfill(read_table(spark, sf_dir, "incoming"), 1300000417)
     return store.live().select("chat_id", "msg_id", "sender", "content", "post_time")
 
@@ -556,7 +555,7 @@ def store_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CHANGES} SELECT * FROM f WHERE chat_id IN (SELECT id FROM dialogs)")
 def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feeds as a stream of files, in several batches, into a store; chats watched are read anew for each."""
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     for df in _feeds(spark, sf_dir):
         df.select(*[df[f.name].cast(f.dataType) for f in CHANGES.fields]).repartition(2).write.mode("append").parquet(f"{at}/in")
     store = MessageStore(spark, f"{at}/store", from_scratch=True)
@@ -590,7 +589,7 @@ def watched_after_download(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _desk(spark: SparkSession, sf_dir: str) -> Frontdesk:
-    store = MessageStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", from_scratch=True)
+    store = MessageStore(spark, scratch(spark, "store"), from_scratch=True)
     store.append(changes.from_messages(read_table(spark, sf_dir, "incoming")))
     return Frontdesk(store, chats(spark, sf_dir), config.Frontend("f", "b", admin=1, no_redis=True), feeds=lambda name: read_table(spark, sf_dir, name))
 

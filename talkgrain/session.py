@@ -12,7 +12,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-#: Tables written by `durable`, by application.
+#: Folders given by `scratch`, by application.
 _WRITTEN: dict[str, list[str]] = {}
 
 
@@ -64,17 +64,24 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str, unique: bool = True) -> str:
+    """A folder of this application in the shared folder, which `release` deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}" if unique else f"{shared_dir(spark)}/{name}"
+    known = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    if path not in known:
+        known.append(path)
+    return path
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables `durable` wrote in this application, once no query needs them; their number."""
+    """Delete the folders of this application, once no query needs them; their number."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for p in paths:
