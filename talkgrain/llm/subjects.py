@@ -40,7 +40,7 @@ K = len(SUBJECTS)
 class Params:
     """common: terms of this share of documents have weights of their own, rarer ones that of the rarest of these.
 
-    bits: signs of each order; sent: most telling terms (36 bytes each) that go to the executors whole, more are joined.
+    bits: signs of each order; columns: terms of a block compared at once; sent: most telling terms (36 bytes each) that go to the executors whole, more are joined.
     The others as above.
     """
 
@@ -56,6 +56,7 @@ class Params:
     none: float = 1.0
     common: float = 1e-3
     bits: int = 24
+    columns: int = 2048
     sent: int = 1 << 20
 
 
@@ -184,9 +185,14 @@ def _compare(b: pa.RecordBatch, idf: np.ndarray, rare: np.float32, p: Params) ->
     _, place, held = np.unique(v, return_inverse=True, return_counts=True)
     shared = held[place] > 1  # a term of one document adds nothing
     _, place = np.unique(place[shared], return_inverse=True)
-    matrix = np.zeros((len(first), int(place.max()) + 1 if len(place) else 1), np.float32)
-    matrix[row[shared], place] = w[shared] / np.maximum(col["length"].to_numpy()[first][row[shared]], 1e-9)
-    cosine = matrix @ matrix.T
+    by = np.argsort(place, kind="stable")
+    place, row, w = place[by], row[shared][by], w[shared][by] / np.maximum(col["length"].to_numpy()[first][row[shared][by]], 1e-9)
+    cosine = np.zeros((len(first), len(first)), np.float32)
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, p.columns):  # long texts share many terms
+        part = slice(*np.searchsorted(place, [lo, lo + p.columns]))
+        matrix = np.zeros((len(first), p.columns), np.float32)
+        matrix[row[part], place[part] - lo] = w[part]
+        cosine += matrix @ matrix.T
     np.fill_diagonal(cosine, 0)
     keep = np.zeros(cosine.shape, bool)
     best = np.argpartition(-cosine, min(p.near, len(first)) - 1, axis=1)[:, : p.near]

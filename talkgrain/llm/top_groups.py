@@ -9,14 +9,13 @@ before the shuffle, so that a group of millions of items never meets in one task
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgrain.functions.ids import share_id, url_msg, url_share
-from talkgrain.session import durable, shared_dir
+from talkgrain.session import durable, scratch
 
 #: Shares of all items above the lower edge of each band but the last.
 SHARES = (0.02, 0.1, 0.35)
@@ -63,7 +62,7 @@ def top_n(df: DataFrame, group: str, score: str, ties: list[Column], n: int, sha
 
 def _by_band(rows: DataFrame) -> DataFrame:
     """Write rows into one folder a band, so that each band is read alone."""
-    path = f"{shared_dir(rows.sparkSession)}/bands-{uuid.uuid4().hex}"
+    path = scratch(rows.sparkSession, "bands")
     rows.write.option("compression", "zstd").partitionBy("_band").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 

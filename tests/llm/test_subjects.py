@@ -51,9 +51,10 @@ def test_labelled_documents_take_their_own_subjects_only(spark):
     assert (40, "food") not in got and {(0, "sport"), (1, "food"), (42, "sport"), (43, "food")} <= got
 
 
-def test_links_are_all_verified_pairs_of_a_block(spark):
+@pytest.mark.parametrize("columns", [5, 2048])
+def test_links_are_all_verified_pairs_of_a_block(spark, columns):
     """In one block the links are those of brute force over all pairs, with exact cosines."""
-    p = S.Params(orders=1, near=3, similar=0.4, block=64)
+    p = S.Params(orders=1, near=3, similar=0.4, block=64, columns=columns)
     docs = corpus(spark, 60).withColumn("text", F.concat("text", F.lit(" own"), F.translate(F.hex("doc_id"), "0123456789", "ghijklmnop")))  # no two alike
     tokens = S.tokenised(docs.coalesce(1))
     got = {(r["doc_id"], o): w for r in S.links(tokens, p).coalesce(1).collect() for o, w in zip(r["others"], r["weights"])}
