@@ -190,7 +190,8 @@ _ZH_HINT = re.compile(r"[路街道巷弄同]\d")
 _DIGIT = re.compile(r"\d")
 _SURNAME = r"([^\W\d_]{2,}(?:[-’'][^\W\d_]{2,})?)"
 _AFTER, _BEFORE = re.compile(rf"(?: [^\W\d_]\.)?(?: |, ){_SURNAME}"), re.compile(rf"{_SURNAME}, \Z")
-_FIRST = re.compile(r"(?<![\w@.+-])[^\W\d_]{2,}(-[^\W\d_]{2,})?(?![\w@+])")
+#: A word that doesn't begin with a small letter: first names are written with a large one.
+_FIRST = re.compile(r"(?<![\w@.+-])[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+(-[^\W\d_]{2,})?(?![\w@+])")
 #: A hyphen inside a name, not one that begins a note.
 _HYPHEN = re.compile(r"(?<=[^\W\d_][^\W\d_])-(?=[^\W\d_]{2})")
 _HAN, _CYRILLIC_TEXT = re.compile(r"[一-鿿]"), re.compile(r"[А-я]")
