@@ -265,15 +265,21 @@ def _matches(ids: np.ndarray, texts: list[str], index: Index, p: Params) -> list
     if not len(place):
         return []
     doc = np.searchsorted(at, place, side="right") - 1
+    pair = doc.astype(np.int64) * len(index.ids) + index.item[entry]
+    _, which, count = np.unique(pair, return_inverse=True, return_counts=True)
+    several = count[which] >= p.needed(p.least)
+    place, entry, doc, pair = place[several], entry[several], doc[several], pair[several]
+    if not len(place):
+        return []
     item = index.item[entry]
     x, y = place - at[doc], index.pos[entry] - index.at[item]
-    # each hit counts in the two bands that hold its diagonal
+    # each hit counts in the two bands that hold its diagonal, in the lower half of the one and the upper of the other
     half = p.half_band(np.diff(index.at))[item]
     band = (x - y) // half
-    pair = doc.astype(np.int64) * len(index.ids) + item
+    lower = np.repeat([True, False], len(band))
     pair, band, x, y, place = np.tile(pair, 2), np.concatenate([band, band - 1]), np.tile(x, 2), np.tile(y, 2), np.tile(place, 2)
     order = np.lexsort((x, x - y, band, pair))
-    pair, band, x, y, place = pair[order], band[order], x[order], y[order], place[order]
+    pair, band, x, y, place, lower = pair[order], band[order], x[order], y[order], place[order], lower[order]
     new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(pair))
@@ -284,8 +290,13 @@ def _matches(ids: np.ndarray, texts: list[str], index: Index, p: Params) -> list
     size = end - begin + p.q
     whole = (size >= p.least) & (spaces[place[end] + p.q] - spaces[place[begin]] >= p.units - 1)
     of = np.searchsorted(first, begin, side="right") - 1
-    # below per_edit characters no edit is allowed and a region is one run; from there on it shares so many q-grams
-    enough = (np.bincount(of, weights=whole, minlength=len(first)) > 0) | ((last - first >= p.needed(p.per_edit)) & (np.bincount(of, minlength=len(first)) > 1))
+    bands = len(first)
+    # below per_edit characters no edit is allowed and a region is one run; from there on it shares so many q-grams, and
+    # of the parts between its edits the longest has so many characters at least
+    longest = -(-(p.per_edit - 1) // 2)
+    enough = (np.bincount(of, weights=whole, minlength=bands) > 0) | ((last - first >= p.needed(p.per_edit)) & (np.bincount(of, minlength=bands) > 1) & (np.maximum.reduceat(size, np.searchsorted(begin, first)) >= longest))
+    # a band without hits in its lower half holds nothing that the next one doesn't
+    enough &= np.add.reduceat(lower.astype(np.int64), first) > 0
     found: dict[tuple[int, int], list] = {}
     lo_run = np.searchsorted(begin, first)
     hi_run = np.append(lo_run[1:], len(begin))
