@@ -44,12 +44,12 @@ class Params:
     The others as above.
     """
 
-    orders: int = 2
+    orders: int = 3
     block: int = 256
     near: int = 4
     similar: float = 0.2
     rounds: int = 4
-    reach: float = 0.02
+    reach: float = 0.0075
     share: float = 0.25
     lift: float = 2.0
     sure: float = 5.0
