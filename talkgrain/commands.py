@@ -123,7 +123,7 @@ class Frontdesk:
         live = live.withColumn("content", unescape(F.col("content")))  # stored escaped; hits are escaped anew
         hits = searching.search(searching.indexed(live), query, chats).cache()  # counted and shown
         total = hits.count()
-        if not total and self.store.log().isEmpty():
+        if not total and chat_list.is_empty(live):
             return Reply("The index is empty; add a chat first")
         length = self.frontend.page_len
         pages = -(-total // length)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from talkgrain import schema
 from talkgrain.functions.ids import url_msg, url_share
 from talkgrain.operators import changes
+from talkgrain.operators.chats import is_empty
 from talkgrain.sources.versions import Versions
 
 
@@ -81,7 +82,7 @@ class MessageStore:
 
     def backfill(self, incoming: DataFrame, chat_id: int, min_id: int | None = None, max_id: int | None = None) -> DataFrame:
         """Append a chat's history and return it; refused for the whole range where the chat has messages."""
-        if not (min_id or max_id) and not self.live(F.col("chat_id") == chat_id).isEmpty():
+        if not (min_id or max_id) and not is_empty(self.live(F.col("chat_id") == chat_id)):
             raise HistoryExists(f"chat {chat_id} has messages: give a range")
         lo, hi = min_id or 1, max_id or 1 << 30
         rows = changes.from_messages(incoming.where(f"id > {int(lo)} AND id < {int(hi)}"))

@@ -1,7 +1,6 @@
 """The fold of changes against a replay, the delivery store, the message store, streams and commands."""
 
 import datetime as dt
-import uuid
 
 import pytest
 from hypothesis import given, settings
