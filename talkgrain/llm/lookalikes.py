@@ -56,13 +56,13 @@ def several() -> dict[str, str]:
 def compatible() -> tuple[dict[str, str], dict[str, str]]:
     """Other compatibility forms of letters, digits and symbols: of one character, and of several. Punctuation and spaces stay.
 
-    So do the number sign and what `narrow` and `several` map.
+    So do the number sign, the two fillers that count as invisible, and what `narrow` and `several` map.
     """
     one, many, known = {}, {}, several()
     for c in (*range(0xA0, 0xD800), *range(0xF900, 0x32000)):
         ch = chr(c)
         form = unicodedata.normalize("NFKC", ch)
-        if form == unicodedata.normalize("NFC", ch) or ch in known or c == 0x2116 or 0xFF01 <= c <= 0xFF5E or unicodedata.category(ch)[0] not in "LNSM" or " " in form:
+        if form == unicodedata.normalize("NFC", ch) or ch in known or c in (0x2116, 0x3164, 0xFFA0) or 0xFF01 <= c <= 0xFF5E or unicodedata.category(ch)[0] not in "LNSM" or " " in form:
             continue
         (one if len(form) == 1 else many)[ch] = form
     return one, many
