@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from talkgrain.functions.ids import share_id, share_number
 from talkgrain.functions.text import brief, chat_label, strip
+from talkgrain.session import durable
 
 
 class EntityNotFound(KeyError):
@@ -78,10 +79,13 @@ def status(messages: DataFrame, chats: DataFrame, limit: int = 4000, excluded: D
     Lines come in order of chat id while they and a note fit the limit (line breaks included); the note says how many
     chats are missing. The running length is taken over the first few lines that can fit, so no task sees all chats.
     """
-    per = counts(messages).join(newest(messages), "chat_id").join(chats.select("chat_id", "title"), "chat_id", "left")
+    newest_of = F.max(F.struct("post_time", (-F.col("msg_id")).alias("r"), "content")).alias("m")
+    # a row a chat, read for the lines, the totals and the note
+    per = durable(messages.groupBy("chat_id").agg(F.count("*").alias("n"), newest_of).select("chat_id", "n", "m.content"), "status")
     line = F.concat(F.coalesce("title", F.lit("?")), F.lit(" ("), F.col("chat_id").cast("string"), F.lit("): "), F.col("n").cast("string"), F.lit(" messages, newest: "), brief(F.coalesce("content", F.lit(""))))
-    parts = [_first(per.select(F.lit(2).alias("section"), "chat_id", line.alias("line")), "? (0): 1 messages, newest: ", limit)]
-    of = counts(messages).agg(F.count("*").alias("chats"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    first = _first(per, "? (0): 1 messages, newest: ", limit).join(chats.select("chat_id", "title"), "chat_id", "left")
+    parts = [first.select(F.lit(2).alias("section"), "chat_id", line.alias("line"))]
+    of = per.agg(F.count("*").alias("chats"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     parts.append(of.select(F.lit(0).alias("section"), F.lit(None).cast("bigint").alias("chat_id"), F.concat(F.col("n").cast("string"), F.lit(" messages in "), F.col("chats").cast("string"), F.lit(" chats")).alias("line")))
     if excluded is not None:
         out = excluded.select("chat_id").distinct()
